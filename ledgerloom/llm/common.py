@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A side with at most this many rows, counted before the join, is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -83,3 +85,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
         roots.select("node", F.col("node").alias("label"))
     )
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package on the workers' path."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
