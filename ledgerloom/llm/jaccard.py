@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, cut, map_arrow
+from .common import components, cut, fresh, map_arrow
 from .hashing import gram_hashes, scramble, word_hashes
 
 SHINGLE = 5
@@ -232,6 +232,19 @@ def near_duplicates(
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; of repeated rows one stays.
+
+    Rows that share an id are one document. Texts without words all stay, once for each id.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    own, place = fresh(docs, "id_"), fresh(docs, "place_")
+    ids = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(own)).distinct()
+    rows = docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col(own)), "left_semi")
+    first = F.row_number().over(W.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0)))
+    return rows.withColumn(place, first).where(F.col(place) == 1).drop(place)
+
+
 def op2(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
 

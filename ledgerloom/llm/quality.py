@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import cut, map_arrow
+from .common import cut, fresh, map_arrow, small
 
 ORDER = 4
 #: Interquartile ranges that a language's band extends beyond its quartiles.
@@ -193,11 +194,18 @@ def rules(text: str) -> tuple[int, int, int, int, int]:
     return n, len(text) - white, marks, len(lines) - len(set(lines)), repeated
 
 
-def _scores(model):
+_FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]
+
+
+def _scored(df: DataFrame, model, text_col: str, names: list[str], drop_text: bool) -> DataFrame:
+    """``df`` with the rules' figures and the log perplexity under ``names``, with or without its text."""
+    at = df.columns.index(text_col)
+    keep = [k for k in range(len(df.columns)) if k != at or not drop_text]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             found = np.array([rules(t) for t in texts], np.int64).reshape(len(texts), 5)
             code = [codes(symbols(t)) for t in texts]
             sizes = np.array([len(c) for c in code], np.int64)
@@ -209,11 +217,22 @@ def _scores(model):
                 some = sizes > 0
                 logs[some] = np.add.reduceat(log, (np.cumsum(sizes) - sizes)[some]) / -sizes[some]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(found[:, k]) for k in range(5)], pa.array(np.round(logs, 6))],
-                names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"],
+                [batch.column(k) for k in keep] + [pa.array(found[:, k]) for k in range(5)] + [pa.array(np.round(logs, 6))],
+                names=[batch.schema.names[k] for k in keep] + names,
             )
 
-    return run
+    fields = [df.schema[k] for k in keep]
+    fields += [T.StructField(x, T.DoubleType() if k == 5 else T.LongType()) for k, x in enumerate(names)]
+    return map_arrow(df, run, T.StructType(fields))
+
+
+def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words") -> Column:
+    return (F.col(n_words) < MIN_WORDS) | (100 * F.col(n_repeat_words) > REPEATED_PERCENT * F.col(n_words))
+
+
+def _in_band(log_perplexity: str, word_chars: str, low: str, high: str) -> Column:
+    scatter = MARGIN / F.sqrt(F.greatest(F.col(word_chars), F.lit(1)))
+    return F.coalesce(F.col(log_perplexity).between(F.col(low) - scatter, F.col(high) + scatter), F.lit(False))
 
 
 def bands(scored: DataFrame) -> DataFrame:
@@ -240,34 +259,38 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     own; repeated rows count as often as they occur; an empty table gives no rows;
     other columns are not read.
     """
-    spark = docs.sparkSession
-    docs = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text")
-    )
-    model = spark.sparkContext.broadcast(fit(docs.select("text")))
-    scored = map_arrow(
-        docs,
-        _scores(model),
-        "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double",
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    scored = cut(scored.withColumn("base_failed", failed))
-    scatter = MARGIN / F.sqrt(F.greatest("word_chars", F.lit(1)))
-    in_band = F.col("log_perplexity").between(F.col("low") - scatter, F.col("high") + scatter)
+    scored = assessed(docs, id_col, text_col, lang_col)[0]
     # One row per language of the data: Spark decides by its size how to join it.
     return scored.join(bands(scored), "lang", "left").select(
         F.col("id").alias(id_col),
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
+        *_FIGURES[:5],
         "base_failed",
         "log_perplexity",
         "low",
         "high",
-        (~F.col("base_failed") & F.coalesce(in_band, F.lit(False))).alias("kept"),
+        (~F.col("base_failed") & _in_band("log_perplexity", "word_chars", "low", "high")).alias("kept"),
+    )
+
+
+def assessed(docs: DataFrame, id_col: str, text_col: str, lang_col: str):
+    """The figures of all documents, written once, and the broadcast model."""
+    docs = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text")
     )
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("text")))
+    return cut(_scored(docs, model, "text", _FIGURES, True).withColumn("base_failed", base_failed())), model
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``assess`` keeps, with all their columns; the texts are not shuffled."""
+    scored, model = assessed(docs, id_col, text_col, lang_col)
+    names = [fresh(docs, f"{x}_") for x in _FIGURES]
+    lang, low, high = (fresh(docs, f"{x}_") for x in ("lang", "low", "high"))
+    limits, _ = small(bands(scored).select(F.col("lang").alias(lang), F.col("low").alias(low), F.col("high").alias(high)))
+    rows = _scored(docs, model, text_col, names, False)
+    good = ~base_failed(names[0], names[4]) & _in_band(names[5], names[1], low, high)
+    rows = rows.join(limits, F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == F.col(lang))
+    return rows.where(good).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, text_or_empty
+from .common import fresh, small, text_or_empty
 
 WINDOW = 13
 K = 5
@@ -138,6 +138,15 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    own, key = fresh(docs, "id_"), fresh(docs, "key_")
+    bad = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col).where(contaminated())
+    bad = bad.select(F.col(id_col).alias(own), F.col("text_key").alias(key)).distinct()
+    same = (F.xxhash64(text_col) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(own))
+    return docs.join(bad, same, "left_anti")
+
+
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return decontaminate(docs, benchmark).select(
         "doc_id",
