@@ -1,15 +1,611 @@
-"""Queries over the fixture tables, one or more for each operator."""
+"""Queries over the fixture tables, one or more for each operator, with their SQL twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import money as M
+from ..functions import payee as P
+from ..functions import text as T
+from ..operators import documents as D
+from ..operators import jobs as J
+from ..operators import layout as L
+from ..operators import series as S
+from ..operators import transactions as X
+from ..sources import html as H
+from . import fixtures as fx
+from .fixtures import table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL twin."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# SQL of the derived payee, for the descriptions that the fixtures hold.
+_TITLE = "list_aggregate(list_transform(regexp_extract_all({0}, '([A-Za-z]+|[^A-Za-z]+)'), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', '')"
+_CLEAN = r"regexp_replace(regexp_replace({0}, '\s+SINGAPORE\s+\S*$', ''), '\s+\d{{3,}}$', '')"
+_PAYEE = f"""case
+  when c like 'BUS/MRT%' then 'TransitLink' when c like 'GRAB%' then 'Grab'
+  when c like 'TS/%' then {_TITLE.format("split_part(split_part(c[4:], ' - ', 1), ' COMP', 1)")}
+  when c like 'SP %' then {_TITLE.format("trim(c[4:])")}
+  when c like 'PAYPAL *%' then {_TITLE.format(r"regexp_replace(regexp_replace(c, '^PAYPAL\s*\*\s*', ''), '\s+\d{10,}.*$', '')")}
+  when c like 'AMZN%' then 'Amazon' when upper(c) like '%STARBUCKS%' then 'Starbucks'
+  when c like 'GOOGLE %' then 'Google ' || {_TITLE.format("trim(c[8:])")}
+  else {_TITLE.format(r"trim(regexp_replace(regexp_replace(split_part(c, ' - ', 1), '\s*@\s*.*$', ''), '\s+\(.*$', ''))")} end"""
+_VENDORS = f"""
+with {fx.TRANSACTIONS},
+cats(payee, category, dict_ord) as (values {fx.CATEGORY_VALUES}), als(alias, payee) as (values {fx.ALIAS_VALUES}),
+cleaned as (select *, trim({_CLEAN.format("trim(payee)")}) as c from txns),
+derived as (select * exclude (c), {_PAYEE} as raw from cleaned),
+named as (select d.*, coalesce(a.payee, raw) as vendor from derived d left join als a on lower(raw) = a.alias)"""
+# The usual table of the longest common subsequence, folded row by row.
+_LCS = """list_reduce(list_prepend([x * 0 for x in range(length(b) + 1)], list_transform(range(1, length(a) + 1), lambda i: [i])),
+  lambda prev, i: list_reduce(list_prepend([0], list_transform(range(1, length(b) + 1), lambda j: [j])),
+    lambda acc, j: list_append(acc, case when a[i[1]] = b[j[1]] then prev[j[1]] + 1 else greatest(prev[j[1] + 1], acc[-1]) end)))[-1]"""
+_CATEGORISED = (
+    _VENDORS
+    + f""",
+v as (select distinct vendor from named),
+pairs as (select vendor, lower(vendor) as a, lower(payee) as b, category, dict_ord from v, cats),
+scored as (select *, {_LCS} as lcs from pairs where not exists (select 1 from cats c where lower(c.payee) = lower(vendor)) and 3 * least(length(a), length(b)) >= 2 * greatest(length(a), length(b))),
+fuzzy as (select vendor, arg_max(category, (200 * lcs / (length(a) + length(b)), -dict_ord)) as category from scored where 200 * lcs >= 80 * (length(a) + length(b)) group by vendor),
+exact as (select vendor, category from v join cats on payee = vendor),
+folded as (select vendor, arg_min(category, dict_ord) as category from v join cats on lower(payee) = lower(vendor) group by vendor),
+found as (
+  select vendor, coalesce(e.category, f.category, z.category, 'Other') as category,
+    case when e.category is not null then 'exact' when f.category is not null then 'case' when z.category is not null then 'fuzzy' else 'other' end as how
+  from v left join exact e using (vendor) left join folded f using (vendor) left join fuzzy z using (vendor))"""
+)
+_DEDUPED = "firsts as (select * from (select *, row_number() over (partition by date, payee, memo, round_even(amount * 100, 0), credit order by file_ord, row_ord) as rn from named) where rn = 1)"
+
+
+@query(
+    _CATEGORISED
+    + f""", {_DEDUPED}
+select date as "Date", payee as "Description", f.vendor as "Payee", category as "Category", memo as "Memo", source_file as "SourceFile",
+  printf('%.2f', case when credit then amount else -amount end) as "Amount"
+from firsts f join found using (vendor)"""
+)
+def convert_bulk(s: SparkSession, d: str) -> DataFrame:
+    txns = X.with_canonical(X.dedupe(fx.transactions(s, d)), fx.aliases(s))
+    found = X.categories(txns, fx.categories(s)).drop("how")
+    return X.csv_columns(X.ordered(txns.join(found, "vendor")), source_file=True)
+
+
+@query(
+    _CATEGORISED
+    + f""", {_DEDUPED}
+select date as "Date", payee as "Description", f.vendor as "Payee", category as "Category", memo as "Memo",
+  case when credit then '' else printf('%.2f', amount) end as "Outflow", case when credit then printf('%.2f', amount) else '' end as "Inflow"
+from firsts f join found using (vendor)"""
+)
+def txn_csv_columns(s: SparkSession, d: str) -> DataFrame:
+    txns = X.with_canonical(X.dedupe(fx.transactions(s, d)), fx.aliases(s))
+    return X.csv_columns(txns.join(X.categories(txns, fx.categories(s)).drop("how"), "vendor"), single_amount=False)
+
+
+@query(_CATEGORISED + " select vendor, category, how from found")
+def category_lookup(s: SparkSession, d: str) -> DataFrame:
+    return X.categories(X.with_canonical(fx.transactions(s, d), fx.aliases(s)), fx.categories(s))
+
+
+@query(_VENDORS + " select payee, raw, vendor, count(*) as n from named group by all")
+def derive_payee(s: SparkSession, d: str) -> DataFrame:
+    txns = X.with_canonical(fx.transactions(s, d), fx.aliases(s))
+    return txns.groupBy("payee", P.derive_payee(F.col("payee")).alias("raw"), "vendor").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"with {fx.TRANSACTIONS}, named as (select * from txns), {_DEDUPED} select date, payee, memo, amount, credit, file_ord, row_ord, source_file from firsts"
+)
+def txn_dedupe_first(s: SparkSession, d: str) -> DataFrame:
+    return X.dedupe(fx.transactions(s, d))
+
+
+@query(
+    f"with {fx.TRANSACTIONS} select date, payee, amount, row_number() over (order by date, payee, memo, amount, credit, file_ord, row_ord) as place from txns order by place limit 100"
+)
+def txn_sort_first_100(s: SparkSession, d: str) -> DataFrame:
+    top = X.ordered(fx.transactions(s, d)).limit(100)
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.orderBy(*X.ORDER)).cast("long")  # over 100 rows
+    return top.select("date", "payee", "amount", place.alias("place"))
+
+
+@query(f"with {fx.TRANSACTIONS} select source_file, count(*) as n_transactions from txns group by 1")
+def txn_file_stats(s: SparkSession, d: str) -> DataFrame:
+    return X.file_stats(fx.transactions(s, d))
+
+
+_AMOUNT_FORMS = "case o_orderkey % 6 when 0 then p when 1 then '(' || p || ')' when 2 then '-' || p when 3 then '$ ' || p when 4 then ' ' else replace(p, ',', '') end"
+
+
+@query(
+    f"""
+with t as (select o_orderkey, format('{{:,.2f}}', o_totalprice) as p from orders), u as (select o_orderkey, trim({_AMOUNT_FORMS}) as t from t),
+v as (select *, regexp_extract(t, '[0-9]{{1,3}}(?:,[0-9]{{3}})*\\.\\d{{2}}') as m from u)
+select o_orderkey, t as raw, case when m = '' then null when t like '(%)' or t like '-%' then -replace(m, ',', '')::double else replace(m, ',', '')::double end as amount from v"""
+)
+def parse_amount(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders")
+    p = F.format_number("o_totalprice", 2)
+    k = F.pmod("o_orderkey", F.lit(6))
+    raw = F.trim(F.when(k == 0, p).when(k == 1, F.concat(F.lit("("), p, F.lit(")"))).when(k == 2, F.concat(F.lit("-"), p)).when(k == 3, F.concat(F.lit("$ "), p)).when(k == 4, " ").otherwise(F.replace(p, F.lit(","), F.lit(""))))
+    return o.select("o_orderkey", raw.alias("raw"), M.parse_amount(raw).alias("amount"))
+
+
+@query(
+    """
+with t as (select o_orderkey, o_orderdate as x, strftime(o_orderdate, '%Y-%m-%d') as iso from orders)
+select o_orderkey, case o_orderkey % 6
+  when 0 then '2025-' || iso[6:] when 1 then iso when 2 then '20' || iso[3:] when 3 then iso
+  when 4 then '2025-' || iso[6:] else null end as date from t"""
+)
+def parse_date(s: SparkSession, d: str) -> DataFrame:
+    x, k = F.col("o_orderdate"), F.pmod("o_orderkey", F.lit(6))
+    f = lambda p: F.date_format(x, p)
+    short = F.concat(f("d/M/"), F.concat(F.lit("20"), F.substring(f("yyyy"), 3, 2)))
+    raw = F.when(k == 0, f("d MMM yyyy")).when(k == 1, f("d/M/yyyy")).when(k == 2, short).when(k == 3, f("yyyy-MM-dd")).when(k == 4, f("MMM dd")).otherwise(F.concat(F.lit("on "), f("d/M/yyyy")))
+    return table(s, d, "orders").select("o_orderkey", M.parse_date(raw, F.lit(2025)).alias("date"))
+
+
+@query(
+    """
+with t as (select o_orderkey, month(o_orderdate) as m, case o_orderkey % 3 when 0 then 3 when 1 then 12 else 1 end as sm, case o_orderkey % 3 when 2 then null else year(o_orderdate) end as sy from orders)
+select o_orderkey, sy as statement_year, sm as statement_month, case when m > sm then sy - 1 else sy end as year from t"""
+)
+def infer_year(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders")
+    k, y = F.pmod("o_orderkey", F.lit(3)), F.date_format("o_orderdate", "yyyy")
+    text = F.when(k == 0, F.concat(F.lit("As at 31 Mar "), y)).when(k == 1, F.concat(F.lit("dated 5 Dec "), y, F.lit("."))).otherwise("none")
+    sy, sm = M.statement_year(text), M.statement_month(text)
+    out = o.select("o_orderkey", sy.cast("long").alias("statement_year"), sm.alias("statement_month"), F.month("o_orderdate").alias("m"))
+    return out.select("o_orderkey", "statement_year", "statement_month", M.infer_year(F.col("m"), F.col("statement_year"), F.col("statement_month")).alias("year"))
+
+
+_HEADERS = [
+    ["Date", "Description", "Withdrawal", "Deposit", "Balance"],
+    ["Date", "Details", "Withdrawal", "Deposit"],
+    ["Transaction Date", "Amount"],
+    ["Date", "Memo", "Amount"],
+    ["Description"],
+]
+_ROLES = [(0, 1, 2, 1, None, 4), (0, 1, 2, 3, None, None), (0, 0, None, None, 1, None), (0, None, None, None, 2, None), (None, 0, None, 0, None, None)]
+_ROLE_SQL = ", ".join("(" + ", ".join("null" if x is None else str(x) for x in (k, *r)) + ")" for k, r in enumerate(_ROLES))
+
+
+@query(
+    f"""
+with r(k, date_at, desc_at, withdrawal_at, deposit_at, amount_at, balance_at) as (values {_ROLE_SQL})
+select o_orderkey, date_at, desc_at, withdrawal_at, deposit_at, amount_at, balance_at, k in (0, 1, 2, 3) as financial
+from orders join r on o_orderkey % 5 = k"""
+)
+def financial_columns(s: SparkSession, d: str) -> DataFrame:
+    h = F.get(F.array(*[F.array(*map(F.lit, x)) for x in _HEADERS]), F.pmod("o_orderkey", F.lit(5)).cast("int"))
+    o = table(s, d, "orders").select("o_orderkey", h.alias("h"))
+    return o.select("o_orderkey", *[M.find_column(F.col("h"), r).alias(f"{r}_at") for r in M.COLUMN_PATTERNS], M.is_financial(F.col("h")).alias("financial"))
+
+
+@query(
+    """
+with t as (select o_orderkey, strftime(o_orderdate, '%d/%m/%Y') as dt, strftime(o_orderdate, '%Y-%m-%d') as iso, o_orderpriority as p, o_orderkey % 4 as k,
+  round_even(o_totalprice, 2) as a, o_orderstatus = 'F' as f from orders)
+select o_orderkey, iso as date, case k when 3 then '' else p end as payee, '' as memo, a as amount, f as credit from t where k in (1, 3)"""
+)
+def financial_rows(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("dt"), F.col("o_orderpriority").alias("p"), F.format_number(F.bround("o_totalprice", 2), 2).alias("a"), (F.col("o_orderstatus") == "F").alias("f"), F.pmod("o_orderkey", F.lit(4)).alias("k"))
+    e = F.lit("")
+    layouts = {
+        1: (_HEADERS[1], F.array("dt", "p", F.when(F.col("f"), e).otherwise(F.col("a")), F.when(F.col("f"), F.col("a")).otherwise(e))),
+        2: (["Description"], F.array(F.col("p"))),
+        3: (_HEADERS[3], F.array(F.col("dt"), e, F.when(F.col("f"), F.col("a")).otherwise(F.concat(F.lit("-"), "a")))),
+    }
+    rows = None
+    for k, (h, cells) in layouts.items():
+        part = o.where(F.col("k") == k).select("o_orderkey", F.array(*map(F.lit, h)).alias("headers"), F.array(cells, F.array(F.lit("Total"), F.lit("x"))).alias("rows"))
+        rows = part if rows is None else rows.union(part)
+    return X.parse_tables(rows, F.lit(2025)).drop("row_ord")
+
+
+@query(f"select p_partkey, {_TITLE.format('upper(p_name) || chr(39) || lower(p_brand)')} as title from part")
+def title_case(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select("p_partkey", T.title_case(F.concat(F.upper("p_name"), F.lit("'"), F.lower("p_brand"))).alias("title"))
+
+
+@query("select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, e' \\t\\r\\n\\x0B\\f')), lambda x: x <> ''), chr(10)) as cleaned from documents")
+def clean_lines(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", T.clean_lines(F.col("text")).alias("cleaned"))
+
+
+_LINES = "lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_ord from documents)"
+_NORM = r"lower(regexp_replace(trim(regexp_replace({0}, '\s+', ' ', 'g')), '\b\d{{1,4}}\b', '#', 'g'))"
+
+
+@query(f"with {_LINES} select {_NORM.format('line')} as norm, count(*) as n from lines where doc_id % 2 = 0 or true group by 1 having count(*) > 1")
+def normalise_line(s: SparkSession, d: str) -> DataFrame:
+    lines = D.lines_of(table(s, d, "documents"), ["doc_id"])
+    return lines.groupBy(T.normalise_line(F.col("line")).alias("norm")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(r"select conv_id, turn, regexp_replace(text || ' ' || chr(160) || chr(9) || 'x' || chr(8203) || 'y', '[ \t\r\x0B\f" + " " + r"]+', ' ', 'g') as t0, replace(t0, chr(8203), '') as normal from conversations")
+def normalise_text(s: SparkSession, d: str) -> DataFrame:
+    t = F.concat("text", F.lit("  \tx​y"))
+    flat = F.regexp_replace(t, "[ \\t\\r\\x0B\\f ]+", " ")
+    return table(s, d, "conversations").select("conv_id", "turn", flat.alias("t0"), T.normalise_text(t).alias("normal"))
+
+
+@query(r"select doc_id, trim(regexp_replace(regexp_replace(text || '  ' || chr(10) || chr(10) || chr(10) || 'end', '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), e' \t\r\n\x0B\f') || chr(10) as md from documents")
+def md_cleanup(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", T.cleanup_markdown(F.concat("text", F.lit("  \n\n\nend"))).alias("md"))
+
+
+@query(
+    r"""
+select conv_id, count(*) as n, trim(string_agg('# ' || role || chr(10) || chr(10) || regexp_replace(trim(text, e' \t\r\n\x0B\f'), '\s+', ' ', 'g'), chr(10) || chr(10) order by turn, role, text), e' \t\r\n\x0B\f') as md
+from conversations where text not like '%|%' and text not like '%#%' and trim(text, e' \t\r\n\x0B\f') <> '' group by conv_id"""
+)
+def md_postprocess(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "conversations").withColumn("line", F.regexp_replace(T.strip(F.col("text")), r"\s+", " ")).where("text not like '%|%' and text not like '%#%' and line <> ''")
+    part = F.struct("turn", "role", "text", F.concat(F.lit("# "), "role", F.lit("\n"), "line").alias("t"))
+    raw = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n\n\n")
+    return c.groupBy("conv_id").agg(F.count("*").alias("n"), T.postprocess_markdown(raw).alias("md"))
+
+
+_PAGE_LINES = f"""
+pl as (select source as doc, doc_id as page, list_filter(string_split(text, chr(10)), lambda x: trim(x, e' \\t\\r\\n\\x0B\\f') <> '') as f from documents),
+bands as (select doc, page, 'top' as band, unnest(f[1:3]) as line from pl union all select doc, page, 'bottom', unnest(f[greatest(len(f) - 2, 1):]) from pl),
+np as (select doc, count(distinct page) as n_pages from pl group by 1 having count(distinct page) >= 5),
+seen as (select distinct doc, page, band, {_NORM.format('line')} as norm from bands),
+prints as (select doc, norm, count(*) as n from seen join np using (doc) where norm <> '' group by doc, norm, n_pages having count(*) >= greatest(2, floor(n_pages * 0.05)))"""
+
+
+@query(f"with {_PAGE_LINES} select doc, norm, n from prints")
+def header_footer_fingerprints(s: SparkSession, d: str) -> DataFrame:
+    return D.repeated_lines(fx.pages(s, d), ratio=0.05)
+
+
+@query(
+    f"""with {_PAGE_LINES}, lines as (select source as doc, doc_id as page, unnest(string_split(text, chr(10))) as line from documents)
+select doc, count(*) as n_lines, sum(length(line))::bigint as n_chars from lines where not regexp_matches(line, '^\\s*\\d{{1,4}}\\s*$')
+  and not exists (select 1 from prints p where p.doc = lines.doc and p.norm = {_NORM.format('line')}) group by doc"""
+)
+def strip_header_footer(s: SparkSession, d: str) -> DataFrame:
+    pages = fx.pages(s, d)
+    kept = D.strip_repeated(D.lines_of(pages, ["doc", "page"]), D.repeated_lines(pages, ratio=0.05))
+    return kept.groupBy("doc").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query("with l as (select p_partkey, case p_partkey % 4 when 0 then p_name || ' ... ' || p_size when 1 then '| ' || p_name || ' | ' || p_size || 'A |' when 2 then p_name || ' iv.' else '|---|---|' end as line, p_partkey % 4 as k from part) select p_partkey, line, k in (0, 1, 2) as is_toc from l")
+def toc_rows(s: SparkSession, d: str) -> DataFrame:
+    k = F.pmod("p_partkey", F.lit(4))
+    size = F.col("p_size").cast("string")
+    line = F.when(k == 0, F.concat("p_name", F.lit(" ... "), size)).when(k == 1, F.concat(F.lit("| "), "p_name", F.lit(" | "), size, F.lit("A |"))).when(k == 2, F.concat("p_name", F.lit(" iv."))).otherwise("|---|---|")
+    return table(s, d, "part").select("p_partkey", line.alias("line"), T.is_toc_row(line).alias("is_toc"))
+
+
+def _toc_lines(s: SparkSession, d: str) -> DataFrame:
+    """Parts as lines of documents: every seventh is a heading, the brand decides about page numbers."""
+    p = table(s, d, "part")
+    k = F.col("p_partkey")
+    line = F.when(F.pmod(k, F.lit(7)) == 0, F.concat(F.lit("# "), "p_brand")).when(F.pmod(F.floor(k / 7), F.lit(3)) == 0, F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"))).otherwise(F.concat("p_name", F.lit(" plain words")))
+    return p.select(F.floor(k / 50).cast("string").alias("doc"), k.alias("line_ord"), line.alias("line"))
+
+
+_TOC_LINES = "tl as (select (p_partkey // 50)::varchar as doc, p_partkey as line_ord, case when p_partkey % 7 = 0 then '# ' || p_brand when (p_partkey // 7) % 3 = 0 then p_name || ' ' || p_size else p_name || ' plain words' end as line from part)"
+
+
+@query(
+    f"""with {_TOC_LINES},
+s as (select *, sum((line like '# %')::int) over (partition by doc order by line_ord) as section from tl)
+select doc, section::bigint as section, min(case when line like '# %' then lower(line[3:]) end) as title, count_if(line not like '# %') as n_rows,
+  count_if(line not like '# %' and line not like '% plain words') as n_toc, false as long_row,
+  count_if(line not like '# %') >= 5 and 10 * count_if(line not like '# %' and line not like '% plain words') >= 6 * count_if(line not like '# %') as is_toc
+from s group by doc, section"""
+)
+def toc_sections(s: SparkSession, d: str) -> DataFrame:
+    return D.toc_sections(_toc_lines(s, d))
+
+
+@query(
+    f"""with {_TOC_LINES}, t as (select *, line not like '# %' and line not like '% plain words' as toc from tl),
+r as (select *, sum((not toc)::int) over (partition by doc order by line_ord) as run from t)
+select doc, min(line_ord) as first, max(line_ord) as last, count(*) as n from r where toc group by doc, run having count(*) >= 5"""
+)
+def inline_toc_runs(s: SparkSession, d: str) -> DataFrame:
+    return D.inline_toc_runs(_toc_lines(s, d))
+
+
+@query("select c_nationkey, arg_max(v, (n, -f)) as v, max(n) as n from (select c_nationkey, round_even(c_acctbal / 500, 0) as v, count(*) as n, min(c_custkey) as f from customer group by 1, 2) group by 1")
+def font_mode(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "customer").select("c_nationkey", "c_custkey", F.bround(F.col("c_acctbal") / 500).alias("v"))
+    return S.mode_first(c, ["c_nationkey"], "v", "c_custkey")
+
+
+_CLUSTERS = """
+g as (select p_brand, p_retailprice as v, lag(p_retailprice) over (partition by p_brand order by p_retailprice desc) - p_retailprice as gap from part),
+c as (select p_brand, v, sum(case when gap <= 0.5 then 0 else 1 end) over (partition by p_brand order by v desc) as cluster from g),
+k as (select p_brand, cluster::bigint as cluster, avg(v) as mean, count(*) as n from c group by 1, 2)"""
+
+
+@query(f"with {_CLUSTERS} select p_brand, cluster, round(mean, 4) as mean, n from k")
+def font_clusters(s: SparkSession, d: str) -> DataFrame:
+    return S.single_link(table(s, d, "part"), ["p_brand"], "p_retailprice", 0.5).withColumn("mean", F.round("mean", 4))
+
+
+@query(
+    f"""with {_CLUSTERS}, b as (select *, arg_max(mean, (n, mean)) over (partition by p_brand) as body from k),
+h as (select p_brand, n, round(mean, 4) as mean, row_number() over (partition by p_brand order by mean desc) as level from b where mean >= 1.05 * body)
+select p_brand, mean, n, level from h where level <= 4"""
+)
+def heading_levels(s: SparkSession, d: str) -> DataFrame:
+    k = S.single_link(table(s, d, "part"), ["p_brand"], "p_retailprice", 0.5)
+    return S.heading_levels(k, ["p_brand"], ratio=1.05).select("p_brand", F.round("mean", 4).alias("mean"), "n", F.col("level").cast("long").alias("level"))
+
+
+@query(
+    """
+with a as (select p_brand, list_sort(list_distinct(list(p_size::double)), 'DESC') as v from part group by 1),
+t as (select p_brand, list_reduce(list_prepend([]::double[], list_transform(v, lambda x: [x])), lambda acc, x: case when len(acc) = 0 or acc[-1] - x[1] > 4 then list_append(acc, x[1]) else acc end) as t from a)
+select p_brand, array_to_string(t, ',') as tiers from t"""
+)
+def anchored_tiers(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "part").groupBy("p_brand").agg(F.collect_set(F.col("p_size").cast("double")).alias("v"))
+    return p.select("p_brand", F.array_join(S.anchored_tiers(F.col("v"), 4.0), ",").alias("tiers"))
+
+
+@query(f"with {fx.WORDS} select doc, round_even(top / 3, 0)::bigint as line, string_agg(text, ' ' order by x0, word_ord) as text, count(*) as n_words from words group by doc, round_even(top / 3, 0)")
+def line_buckets(s: SparkSession, d: str) -> DataFrame:
+    return L.bucket_lines(fx.words(s, d)).drop("page")
+
+
+@query(f"with {fx.WORDS}, {fx.BOXES} select doc, word_ord, x0, top from words w where not exists (select 1 from boxes b where b.doc = w.doc and b.page = w.page and w.x0 >= bx0 - 5 and w.x1 <= bx1 + 5 and w.top >= by0 - 5 and w.bottom <= by1 + 5)")
+def words_outside_tables(s: SparkSession, d: str) -> DataFrame:
+    return L.words_outside(fx.words(s, d), fx.boxes(s, d)).select("doc", "word_ord", "x0", "top")
+
+
+@query("select l_orderkey, l_linenumber, l_quantity, greatest(len(list_filter([5, 12, 25, 40], lambda e: e <= l_quantity + 2)) - 1, 0)::int as bucket from lineitem")
+def edge_bucket(s: SparkSession, d: str) -> DataFrame:
+    edges = F.array(*[F.lit(float(x)) for x in (5, 12, 25, 40)])
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", L.edge_bucket(F.col("l_quantity"), edges).alias("bucket"))
+
+
+_CELLS = f"""{fx.WORDS}, wl as (select doc || ':' || (top::bigint)::varchar as doc, 1 as line, word_ord, x0, x0 + 1 as x1, text from words),
+g as (select *, x0 - lag(x1) over (partition by doc, line order by x0, word_ord) as gap from wl),
+m as (select doc, line, list_sort(list(gap))[len(list(gap)) // 2 + 1] as typical from g where gap > 0 group by 1, 2),
+c as (select g.*, sum(case when gap > 4 * typical or gap is null and typical is not null and false then 1 else 0 end) over (partition by g.doc, g.line order by x0, word_ord) as cell from g left join m using (doc, line))"""
+
+
+@query(f"with {_CELLS} select doc, (row_number() over (partition by doc order by cell))::bigint as cell_no, string_agg(text, ' ' order by x0, word_ord) as text from c group by doc, line, cell")
+def cell_split(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    w = fx.words(s, d).select(F.concat("doc", F.lit(":"), F.col("top").cast("long").cast("string")).alias("doc"), F.lit(1).alias("line"), "word_ord", "x0", (F.col("x0") + 1).alias("x1"), "text")
+    return L.split_cells(w).select("doc", F.row_number().over(W.partitionBy("doc").orderBy("cell")).cast("long").alias("cell_no"), "text")
+
+
+@query(
+    """
+with r as (select (o_orderkey // 40)::varchar as doc, o_orderkey as line, (1 + o_custkey % 3)::bigint as n_cells from orders),
+m as (select *, coalesce(lag(n_cells) over (partition by doc order by line) <> n_cells, true) as new from r),
+g as (select *, sum(new::int) over (partition by doc order by line) as run from m)
+select doc, min(line) as first, count(*) as n, min(n_cells) as n_cells, case when count(*) >= 2 then 'table' else 'header' end as kind from g where n_cells > 1 group by doc, run"""
+)
+def row_runs(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders").select(F.floor(F.col("o_orderkey") / 40).cast("string").alias("doc"), F.col("o_orderkey").alias("line"), (1 + F.pmod("o_custkey", F.lit(3))).alias("n_cells"))
+    return L.row_runs(o)
+
+
+@query(
+    """
+with l as (select (o_orderkey // 60)::varchar as doc, (o_orderkey % 2)::int as col, o_orderkey as line_ord, (o_orderkey % 60) * (8 + o_custkey % 5)::double as top, 8.0 as line_gap, o_custkey % 11 = 0 as is_heading, o_orderkey::varchar as text from orders),
+s as (select *, top - lag(top) over w as step, coalesce(lag(is_heading) over w, false) as after from l window w as (partition by doc, col order by top, line_ord)),
+p as (select *, sum((not coalesce(step <= greatest(1.8 * line_gap, 12), false) or is_heading or after)::int) over (partition by doc, col order by top, line_ord) as para from s)
+select doc, col, para::bigint as para, string_agg(text, ' ' order by top, line_ord) as text, count(*) as n_lines, max(top) as last_y from p group by 1, 2, 3"""
+)
+def paragraph_merge(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = table(s, d, "orders").select(
+        F.floor(k / 60).cast("string").alias("doc"), F.pmod(k, F.lit(2)).cast("int").alias("col"), k.alias("line_ord"), (F.pmod(k, F.lit(60)) * (8 + F.pmod("o_custkey", F.lit(5)))).cast("double").alias("top"),
+        F.lit(8.0).alias("line_gap"), (F.pmod("o_custkey", F.lit(11)) == 0).alias("is_heading"), k.cast("string").alias("text"),
+    )
+    return L.merge_paragraphs(o)
+
+
+@query(
+    """
+with w as (select event_type as doc, (user_id % 20)::int as page, abs(value) * 3 as x0, 600.0 as width from events),
+g as (select *, lag(x0) over (partition by doc, page order by x0) as prev from w),
+m as (select doc, page, list_sort(list(x0 - prev))[len(list(x0 - prev)) // 2 + 1] as typical from g where x0 - prev > 0 group by 1, 2),
+s as (select doc, page, (x0 - prev) / typical / ((x0 - prev) / typical + 8) as score, (x0 + prev) / 2 as at_x, x0 from g join m using (doc, page) where (x0 + prev) / 2 between 0.2 * width and 0.8 * width),
+b as (select doc, page, max(score) as score, arg_max(at_x, (score, -x0)) as at_x from s group by 1, 2),
+n as (select doc, page, count(*) as n_words from w group by 1, 2)
+select doc, page, case when coalesce(n_words >= 40 and score >= 0.55, false) then 'two' else 'single' end as layout, round_even(coalesce(score, 0), 3) as confidence,
+  case when n_words >= 40 and score >= 0.55 then round(at_x, 6) end as split_x from n left join b using (doc, page)"""
+)
+def column_detect(s: SparkSession, d: str) -> DataFrame:
+    w = table(s, d, "events").select(F.col("event_type").alias("doc"), F.pmod("user_id", F.lit(20)).cast("int").alias("page"), (F.abs("value") * 3).alias("x0"), F.lit(600.0).alias("width"))
+    return L.detect_columns(w).withColumn("split_x", F.round("split_x", 6))
+
+
+_BITS = "bits as (select vec_id, label, embedding[1:8]::double[] as e from embeddings), h as (select vec_id, label as page, list_aggregate(list_transform(e, lambda x: case when x >= list_sum(e) / 8 then '1' else '0' end), 'string_agg', '') as hash from bits)"
+
+
+@query(f"with {_BITS} select vec_id, page, hash from h")
+def phash_bits(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings")
+    return e.select("vec_id", F.col("label").alias("page"), L.average_hash(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))).alias("hash"))
+
+
+@query(f"with {_BITS} select hash, count(distinct page) as n_pages from h group by 1 having count(distinct page) >= 3")
+def phash_repeated(s: SparkSession, d: str) -> DataFrame:
+    return L.repeated_hashes(phash_bits(s, d))
+
+
+@query("select conv_id, string_agg('=== ' || n || ' ===' || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by n, text) as merged, count(*) as n_files from (select conv_id, text, 'turn' || lpad(turn::varchar, 4, '0') || '.txt' as n from conversations) group by 1")
+def merge_consolidated(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "conversations").withColumn("n", F.concat(F.lit("turn"), F.lpad(F.col("turn").cast("string"), 4, "0"), F.lit(".txt")))
+    return D.merge_texts(c, ["conv_id"], "n", "text")
+
+
+@query("select filename, event_id, user_id, f as file_ord from (select event_type || '-' || (user_id % 50) as filename, event_id, user_id, event_id as f, row_number() over (partition by event_type, user_id % 50 order by event_id desc) as rn from events) where rn = 1")
+def last_upload_wins(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").select(F.concat("event_type", F.lit("-"), F.pmod("user_id", F.lit(50)).cast("string")).alias("filename"), "event_id", "user_id", F.col("event_id").alias("file_ord"))
+    return D.last_upload_wins(e)
+
+
+@query("select r_name, '| Key | Name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || replace(n_name, 'A', '\\|') || ' |', chr(10) order by n_nationkey) as md from nation join region on n_regionkey = r_regionkey group by r_name")
+def table_markdown(s: SparkSession, d: str) -> DataFrame:
+    n, r = table(s, d, "nation"), table(s, d, "region")
+    row = F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), F.replace("n_name", F.lit("A"), F.lit("|"))).alias("c"))
+    g = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["c"]).alias("rows"))
+    return g.select("r_name", T.table_markdown(F.array(F.lit("Key"), F.lit("Name")), F.col("rows")).alias("md"))
+
+
+@query("select page_id, '---' || chr(10) || 'title: Page ' || page_id || chr(10) || 'source: \"' || url || '\"' || chr(10) || 'lang: xx' || chr(10) || '---' as front from pages")
+def frontmatter(s: SparkSession, d: str) -> DataFrame:
+    meta = F.create_map(F.lit("lang"), F.lit("xx"), F.lit("source"), F.col("url"), F.lit("title"), F.concat(F.lit("Page "), F.col("page_id").cast("string")))
+    return table(s, d, "pages").select("page_id", T.front_matter(meta).alias("front"))
+
+
+@query(
+    """
+with r as (select *, sum((role = 'user')::int) over (partition by conv_id order by turn) as record from conversations)
+select conv_id, record::bigint as record, count(*) as n, string_agg(text, chr(10) order by turn, text) as joined from r where record > 0 group by 1, 2"""
+)
+def record_fold(s: SparkSession, d: str) -> DataFrame:
+    return D.fold_records(table(s, d, "conversations"), ["conv_id"], "turn", F.col("role") == "user", "text")
+
+
+@query(f"with {fx.JOBS} select job_id, status, case status when 'running' then 0 when 'queued' then 1 + (select count(*) from jobs q where q.status = 'queued' and q.created_at < jobs.created_at) end as position from jobs")
+def job_queue_position(s: SparkSession, d: str) -> DataFrame:
+    return J.queue_position(fx.jobs(s, d)).select("job_id", "status", "position")
+
+
+@query(f"with {fx.JOBS} select job_id, status, created_at from jobs order by created_at desc, job_id limit 20")
+def job_recent(s: SparkSession, d: str) -> DataFrame:
+    return J.recent(fx.jobs(s, d)).select("job_id", "status", "created_at")
+
+
+@query(f"with {fx.JOBS} select job_id, 'running' as status, created_at from jobs where status = 'queued' order by created_at, job_id limit 1")
+def job_claim(s: SparkSession, d: str) -> DataFrame:
+    return J.claim(fx.jobs(s, d)).select("job_id", "status", "created_at")
+
+
+_RATES = f"rates as (select ocr_expected, list_sort(list(actual_sec / greatest(1, page_count)))[count(*) // 2 + 1] as rate from jobs where finished_at >= timestamp '{fx.NOW}' - interval 30 days group by 1 having count(*) >= 3)"
+
+
+@query(f"with {fx.JOBS}, {_RATES} select job_id, round(case when page_count = 0 then 4.0 else 4.0 + page_count * coalesce(rate, case when ocr_expected then 45.0 else 12.0 end) end, 6) as estimate_sec from jobs left join rates using (ocr_expected)")
+def job_eta(s: SparkSession, d: str) -> DataFrame:
+    j = fx.jobs(s, d)
+    return J.estimates(j, j, F.lit(fx.NOW).cast("timestamp_ntz")).select("job_id", F.round("estimate_sec", 6).alias("estimate_sec"))
+
+
+@query(f"with {fx.JOBS} select status, count(*) as n from jobs where not coalesce(finished_at < timestamp '{fx.NOW}' - interval 7 days, false) group by 1")
+def job_retention(s: SparkSession, d: str) -> DataFrame:
+    return J.retained(fx.jobs(s, d), F.lit(fx.NOW).cast("timestamp_ntz")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("select user_id as job_id, arg_max(event_type, (ts, event_id)) as status, count(*) as n_events from events group by 1")
+def job_state(s: SparkSession, d: str) -> DataFrame:
+    return J.latest_state(table(s, d, "events").select("event_id", "ts", F.col("user_id").alias("job_id"), F.col("event_type").alias("status")))
+
+
+@query("select user_id as job_id, case when count(distinct e) = 1 then min(e) when count(distinct e) > 1 then 'mixed' end as engine from (select user_id, case when value > 50 then event_type end as e from events) group by 1")
+def job_engine(s: SparkSession, d: str) -> DataFrame:
+    return J.engine_of(table(s, d, "events").select(F.col("user_id").alias("job_id"), F.when(F.col("value") > 50, F.col("event_type")).alias("engine")))
+
+
+@query("with t as (select user_id as request_id, case user_id % 3 when 0 then 'raw' else 'pdf2md' end as scheme, sum(event_id * 100)::bigint as bytes, sum(event_id % 3)::bigint as pages from events group by 1, 2) select *, case when scheme <> 'raw' and (bytes > 2097152 or pages > 5) then 'queued' else 'inline' end as route from t")
+def job_route(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    return J.route(e.select(F.col("user_id").alias("request_id"), F.when(F.pmod("user_id", F.lit(3)) == 0, "raw").otherwise("pdf2md").alias("scheme"), (F.col("event_id") * 100).alias("bytes"), F.pmod("event_id", F.lit(3)).alias("pages")))
+
+
+@query("select d.doc_id as page, d.source as doc, coalesce(l.n, 0) as table_count, 0::bigint as figure_count from documents d left join (select doc_id, sum(quality)::bigint as n from labels where quality > 0 group by 1) l using (doc_id)")
+def page_confidence(s: SparkSession, d: str) -> DataFrame:
+    pages = fx.pages(s, d).drop("text")
+    tables = table(s, d, "labels").where("quality > 0").join(table(s, d, "documents").select("doc_id", "source"), "doc_id").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"))
+    return D.page_confidence(pages, tables, tables.limit(0))
+
+
+_STRIP_HTML = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)</(p|div|tr|br|h[1-6]|li|td|th|dt|dd|blockquote)\s*>', chr(10), 'g'), '(?i)<br\s*/>', chr(10), 'g'), '<[!/]?[A-Za-z][^>]*>', '', 'g')"
+_ENTITIES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&copy;?', chr(169), 'g'), '&middot;?', chr(183), 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+
+
+@query(f"with t as (select page_id, {_ENTITIES.format(_STRIP_HTML)} as t from pages) select page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, e' \\t\\r\\n\\x0B\\f')), lambda x: x <> ''), chr(10)) as text from t")
+def html_text(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "pages").select("page_id", H.html_text(F.col("html")).alias("text"))
+
+
+@query(f"select page_id, {_ENTITIES.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} as title, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') as site_name from pages")
+def html_meta(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "pages").select("page_id", H.title(F.col("html")).alias("title"), H.site_name(F.col("url")).alias("site_name"))
+
+
+@query(
+    r"with l as (select page_id, unnest(regexp_extract_all(html, '<a\s+href=\"([^\"]*)\"', 1)) as href from pages) select page_id, count(*) as n_links, count_if(href = '' or href like '#%' or href like 'javascript:%') as n_dropped from l group by 1"
+)
+def html_links(s: SparkSession, d: str) -> DataFrame:
+    return H.links(table(s, d, "pages")).groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if(~F.col("kept")).alias("n_dropped"))
+
+
+@query()
+def html_markdown(s: SparkSession, d: str) -> DataFrame:
+    return H.markdown(table(s, d, "pages"))
+
+
+@query("select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def events_tumbling(s: SparkSession, d: str) -> DataFrame:
+    from ..streaming.jobs import tumbling
+
+    return tumbling(table(s, d, "events"), "1 hour").select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """
+with g as (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) as gap from events),
+s as (select *, sum(case when gap < interval 6 hours then 0 else 1 end) over (partition by user_id order by ts) as k from g)
+select user_id, min(ts) as first, max(ts) as last, count(*) as n from s group by user_id, k"""
+)
+def events_session(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    w = F.session_window("ts", "6 hours")
+    return e.groupBy("user_id", w).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).select("user_id", "first", "last", "n")
+
+
+@query("select user_id as job_id, arg_max(event_type, (ts, event_id)) as status, count(*) as n_events from events group by 1")
+def stream_job_state(s: SparkSession, d: str) -> DataFrame:
+    from ..streaming.jobs import fold_stream
+
+    return fold_stream(s, f"{d}/events.parquet")
+
+
+@query()
+def scheme_registry(s: SparkSession, d: str) -> DataFrame:
+    from ..plans.registry import listing
+
+    return listing(s)
