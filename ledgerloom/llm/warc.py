@@ -30,6 +30,8 @@ from .common import cut, map_arrow, shared_dir
 #: Uncompressed bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME = 1 << 20
 BUNDLE = 128 << 20
+#: Frames that a reading task opens on average.
+FRAMES_PER_TASK = 32
 #: Pieces into which the rows of one payload are dealt.
 SALT = 32
 
@@ -175,6 +177,9 @@ def read(index: DataFrame, path: str) -> DataFrame:
     of its own; its size and digest are those of the full one.
     """
     frames = index.groupBy("bundle", "frame_at", "frame_bytes").agg(F.sort_array(F.collect_list(F.struct("record_at", "record_bytes"))).alias("records"))
+    # An index row stands for a megabyte to decompress, which its own size does not tell Spark.
+    n = index.select("bundle", "frame_at").distinct().count()
+    frames = frames.repartition(max(1, -(-n // FRAMES_PER_TASK)), "bundle", "frame_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
