@@ -29,6 +29,7 @@ _WHITE = b" \t\n\r\x0b\x0c"
 _BASE = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
 _powers = np.ones(1, np.uint64)
+_inverses = np.ones(1, np.uint64)
 
 
 def _power(n: int) -> np.ndarray:
@@ -62,16 +63,42 @@ def variant_keys(h: np.ndarray) -> np.ndarray:
     return scramble((s[i] + (s[n] - s[i + 1]) * inverse) ^ np.uint64(n - 1))
 
 
-def half_keys(h: np.ndarray) -> np.ndarray:
-    """Hashes of the halves that a line within one edit shares: of either line's length, from either end."""
-    n, out = len(h), []
-    # Partners have n - 1, n or n + 1 words; the halves are cut for the shorter length.
-    for m in {n - 1, n}:
+def _inverse(n: int) -> np.ndarray:
+    """Inverse powers of the base modulo 2**64."""
+    global _inverses
+    if len(_inverses) <= n:
+        out = np.empty(2 * n + 1, np.uint64)
+        p, q = 1, pow(_BASE, -1, 1 << 64)
+        for i in range(len(out)):
+            out[i] = p
+            p = p * q & _M
+        _inverses = out
+    return _inverses
+
+
+def keys_and_halves(words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lines of ``sizes`` words: their keys, and four hashes of halves each.
+
+    Two lines within one edit share a half: partners of a line of n words have n - 1, n or n + 1,
+    and halves are cut for the shorter length, m = n - 1 or n: the first m // 2 words, or the
+    last m - m // 2. All come from one running sum over the words of all lines.
+    """
+    end = np.cumsum(sizes)
+    start = end - sizes
+    longest = int(sizes.max(initial=0))
+    power, inverse = _power(longest), _inverse(longest)
+    place = np.arange(len(words)) - np.repeat(start, sizes)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hashes(words) * power[place], dtype=np.uint64)])
+    n = sizes.astype(np.uint64)
+    key = scramble((run[end] - run[start]) ^ n)
+    halves = []
+    for m in (sizes - 1, sizes):
         k = m // 2
-        tail = n - (m - k)
-        a, b = _prefix(h[:k])[-1], _prefix(h[tail:])[-1]
-        out += [a ^ np.uint64(m << 1), b ^ np.uint64(m << 1 | 1)]
-    return scramble(np.array(out, np.uint64))
+        tail = sizes - (m - k)
+        mark = m.astype(np.uint64) << np.uint64(1)
+        halves.append(scramble((run[start + k] - run[start]) ^ mark))
+        halves.append(scramble(((run[end] - run[start + tail]) * inverse[tail]) ^ mark ^ np.uint64(1)))
+    return key, np.stack(halves)
 
 
 def within_one(a: str, b: str) -> bool:
@@ -90,45 +117,30 @@ def within_one(a: str, b: str) -> bool:
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents -> one row per line with a word: id, line number, key, number of words."""
+    """Documents -> one row per line with a word: id, line number, key, number of words, halves of long lines."""
+
+    def packed(ids, numbers, sizes, words) -> pa.RecordBatch:
+        sizes = np.array(sizes, np.int64)
+        key, halves = keys_and_halves(words, sizes)
+        columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(key.view(np.int64)), pa.array(sizes.astype(np.int32))]
+        columns += [pa.array(np.ascontiguousarray(h).view(np.int64), mask=sizes < MIN_WORDS) for h in halves]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "line", "key", "n", "h0", "h1", "h2", "h3"])
+
     for batch in batches:
-        ids, numbers, keys, sizes = [], [], [], []
+        ids, numbers, sizes, words = [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for k, line in enumerate((text or "").encode("utf-8", "replace").lower().split(b"\n")):
-                words = line.split()
-                if words:
+                own = line.split()
+                if own:
                     ids.append(doc)
                     numbers.append(k)
-                    keys.append(line_key(word_hashes(words)))
-                    sizes.append(len(words))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32())],
-            names=["id", "line", "key", "n"],
-        )
-
-
-def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents -> (half, key) of lines of enough words, once per task for equal lines."""
-    seen = set()
-    for batch in batches:
-        halves, keys = [], []
-        for text in batch.column(0).to_pylist():
-            for line in (text or "").encode("utf-8", "replace").lower().split(b"\n"):
-                words = line.split()
-                if len(words) < MIN_WORDS:
-                    continue
-                h = word_hashes(words)
-                key = line_key(h)
-                if key in seen:
-                    continue
-                seen.add(key)
-                own = half_keys(h)
-                halves.append(own)
-                keys.append(np.full(len(own), key, np.uint64))
-        if keys:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(halves).view(np.int64)), pa.array(np.concatenate(keys).view(np.int64))], names=["half", "key"]
-            )
+                    sizes.append(len(own))
+                    words += own
+            if len(words) > 500_000:
+                yield packed(ids, numbers, sizes, words)
+                ids, numbers, sizes, words = [], [], [], []
+        if words:
+            yield packed(ids, numbers, sizes, words)
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,14 +188,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of equal number and words coincide; a null id comes first of all.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(map_arrow(docs, _split, "id long, line int, key long, n int"))
+    rows = cut(map_arrow(docs, _split, "id long, line int, key long, n int, h0 long, h1 long, h2 long, h3 long"))
     place = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("id"), "line")
-    distinct = cut(rows.groupBy("key", "n").agg(F.min(place).alias("first")))
+    # The halves follow from the key.
+    distinct = cut(rows.groupBy("key", "n").agg(F.min(place).alias("first"), *[F.min(h).alias(h) for h in ("h0", "h1", "h2", "h3")]))
 
-    halves = map_arrow(docs.select("text"), _halves, "half long, key long")
+    halves = distinct.where(F.col("n") >= MIN_WORDS).select("key", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half"))
     by_half = W.partitionBy("half")
     shared = halves.withColumn("low", F.min("key").over(by_half)).withColumn("high", F.max("key").over(by_half))
-    wanted = shared.where("low <> high").select("key").distinct().join(distinct, "key")
+    wanted = shared.where("low <> high").select("key").distinct().join(distinct.select("key", "first"), "key")
     wanted = cut(wanted)
     # Fetch the words of each wanted line from its first occurrence.
     at = wanted.groupBy("first.id").agg(F.collect_set("first.line").alias("lines"))
