@@ -25,6 +25,8 @@ ORDER = 4
 SPREAD = 3.0
 #: Further width in nats, divided by the root of a document's characters: means of short texts scatter more.
 MARGIN = 1.0
+#: Characters that are worked on at once, whatever the length of a text.
+CHUNK = 1 << 20
 #: Histogram bins per nat.
 BINS = 1000
 MIN_WORDS = 50
@@ -53,19 +55,20 @@ def _folding() -> np.ndarray:
 _fold: np.ndarray | None = None
 
 
-def symbols(text: str) -> np.ndarray:
-    """The folded text behind ``ORDER - 1`` start symbols."""
+def codes(text: str) -> Iterator[np.ndarray]:
+    """24-bit codes of the n-grams that end at each character, ``CHUNK`` characters at a time.
+
+    The text stands behind ``ORDER - 1`` start symbols.
+    """
     global _fold
     if _fold is None:
         _fold = _folding()
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    return np.concatenate([np.zeros(ORDER - 1, np.uint8), _fold[points]])
-
-
-def codes(own: np.ndarray) -> np.ndarray:
-    """24-bit codes of the n-grams that end at each character."""
-    x = own.astype(np.uint32)
-    return (x[:-3] << 18) | (x[1:-2] << 12) | (x[2:-1] << 6) | x[3:]
+    before = np.zeros(ORDER - 1, np.uint32)
+    for at in range(0, len(text), CHUNK):
+        points = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "replace"), np.uint32)
+        x = np.concatenate([before, _fold[points].astype(np.uint32)])
+        before = x[-(ORDER - 1) :]
+        yield (x[:-3] << 18) | (x[1:-2] << 12) | (x[2:-1] << 6) | x[3:]
 
 
 def hashed(code: np.ndarray) -> np.ndarray:
@@ -78,15 +81,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, n = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         return code, np.bincount(n, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
-    held: list = []
+    held, waiting, size = [], [], 0
     for batch in batches:
-        texts = [t for t in batch.column(0).to_pylist() if t]
-        if not texts:
-            continue
-        code, n = np.unique(np.concatenate([codes(symbols(t)) for t in texts]), return_counts=True)
-        held.append((code, n))
-        if len(held) >= 16:
-            held = [packed(held)]
+        for text in batch.column(0).to_pylist():
+            for code in codes(text or ""):
+                waiting.append(code)
+                size += len(code)
+                if size >= CHUNK:
+                    held.append(np.unique(np.concatenate(waiting), return_counts=True))
+                    waiting, size = [], 0
+                    if len(held) >= 16:
+                        held = [packed(held)]
+    if waiting:
+        held.append(np.unique(np.concatenate(waiting), return_counts=True))
     if held:
         code, n = packed(held)
         yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(n)], names=["gram", "n"])
@@ -136,9 +143,6 @@ class Model:
                 (self.logp if name == "keys" else self.weights).append(np.log(np.maximum(value, 1e-300))[by].astype(np.float32))
             lower = p
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "dense"}
-
     def _find(self, keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, absent: float) -> np.ndarray:
         if not len(keys):
             return np.full(len(wanted), absent, np.float32)
@@ -158,6 +162,23 @@ class Model:
         return out
 
 
+class Lookup:
+    """A worker's table of the log probabilities it has met: 64 MB, filled from the model's arrays."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.table = np.full(1 << 6 * ORDER, np.nan, np.float32)
+
+    def total(self, code: np.ndarray) -> float:
+        log = self.table[code]
+        new = np.isnan(log)
+        if new.any():
+            missing = np.unique(code[new])
+            self.table[missing] = self.model.logs(missing)
+            log = self.table[code]
+        return float(log.sum(dtype=np.float64))
+
+
 def fit(texts: DataFrame) -> Model:
     """The model of all texts of a one-column frame; counts are summed by Spark."""
     counted = map_arrow(texts, _counts, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -203,19 +224,11 @@ def _scored(df: DataFrame, model, text_col: str, names: list[str], drop_text: bo
     keep = [k for k in range(len(df.columns)) if k != at or not drop_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
+        own = Lookup(model.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             found = np.array([rules(t) for t in texts], np.int64).reshape(len(texts), 5)
-            code = [codes(symbols(t)) for t in texts]
-            sizes = np.array([len(c) for c in code], np.int64)
-            logs = np.zeros(len(texts))
-            if sizes.sum():
-                # Look each distinct n-gram of the batch up once.
-                seen, place = np.unique(np.concatenate(code), return_inverse=True)
-                log = own.logs(seen).astype(np.float64)[place]
-                some = sizes > 0
-                logs[some] = np.add.reduceat(log, (np.cumsum(sizes) - sizes)[some]) / -sizes[some]
+            logs = np.array([-sum(map(own.total, codes(t))) / max(1, len(t)) for t in texts], np.float64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k) for k in keep] + [pa.array(found[:, k]) for k in range(5)] + [pa.array(np.round(logs, 6))],
                 names=[batch.schema.names[k] for k in keep] + names,
