@@ -20,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, cut, fresh, map_arrow
+from .common import components, cut, fresh, map_arrow, small
 from .hashing import gram_hashes, scramble, word_hashes
 
 SHINGLE = 5
 #: Similarity bound in hundredths.
 PERCENT = 80
-#: Hash buckets whose corpus frequencies order the grams; 2 MB, whatever the corpus.
-BUCKETS = 1 << 18
+#: Hash buckets whose corpus frequencies order the grams; half a megabyte, whatever the corpus.
+BUCKETS = 1 << 16
 #: Bins of the suffix filter.
 BINS = 16
 
@@ -53,14 +53,13 @@ def _profile(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            keys, ns = [], []
+            keys, ns, found = [], [], [np.empty(0, np.uint64)]
             for text in batch.column(1).to_pylist():
                 key, grams = shingles(text, size)
                 keys.append(key)
                 ns.append(len(grams))
-                counts += np.bincount((grams & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(grams) > 50_000 else 0
-                if len(grams) <= 50_000:
-                    np.add.at(counts, (grams & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                found.append(grams & np.uint64(BUCKETS - 1))
+            counts += np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(keys), np.int8)), batch.column(0), pa.array(_signed(np.array(keys, np.uint64))), pa.array(np.array(ns, np.int64))],
                 names=["kind", "id", "key", "n"],
@@ -104,21 +103,26 @@ def _prefixes(size: int, percent: int, order):
 
 
 def _sets(size: int):
+    """(centre, key, text) -> (centre, key, grams, bins); rows whose text has another key go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            keys, sets, bins = [], [], []
-            for text in batch.column(0).to_pylist():
+            centres, keys, sets, bins = [], [], [], []
+            for centre, wanted, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if (centre, wanted) in seen:
+                    continue
                 key, own = shingles(text, size)
-                if not len(own) or key in seen:
+                if int(np.uint64(key).view(np.int64)) != wanted:
                     continue
-                seen.add(key)
-                keys.append(key)
+                seen.add((centre, wanted))
+                centres.append(centre)
+                keys.append(wanted)
                 sets.append(_signed(own))
                 bins.append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=BINS).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(np.array(keys, np.uint64))), pa.array(sets, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))],
-                names=["key", "grams", "bins"],
+                [pa.array(centres, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))],
+                names=["centre", "key", "grams", "bins"],
             )
 
     return run
@@ -131,20 +135,29 @@ def _may_link(n: Column, place: Column, m: Column, other: Column, percent: int)
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the bound; suffix filter, then intersection."""
-    left = sets.select(F.col("key").alias("a"), F.col("grams").alias("x"), F.col("bins").alias("p"))
-    right = sets.select(F.col("key").alias("b"), F.col("grams").alias("y"), F.col("bins").alias("q"))
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (centre, key) whose similarity reaches the bound; suffix filter, then intersection.
+
+    Each text asked for is found by one id of its key and sent to its centres as a set, which is
+    the only shuffle of sets. The ids are broadcast if their counted rows are within the bound.
+    """
+    both_ends = pairs.select("centre", "key").union(pairs.select("centre", F.col("centre").alias("key")).distinct())
+    ids = rows.where("key <> 0").join(both_ends.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("wanted"))
+    ids, _ = small(cut(both_ends.join(ids, "key").select("wanted", "centre", "key")))
+    texts = docs.join(ids, F.expr("id <=> wanted")).select("centre", "key", "text")
+    sets = map_arrow(texts, _sets(size), "centre long, key long, grams array<long>, bins array<int>")
+    left = sets.where("key <> centre").select("centre", "key", F.col("grams").alias("x"), F.col("bins").alias("p"))
+    right = sets.where("key = centre").select("centre", F.col("grams").alias("y"), F.col("bins").alias("q"))
     both = F.size("x") + F.size("y")
     apart = F.aggregate(F.zip_with("p", "q", lambda u, v: F.abs(u - v)), F.lit(0), lambda s, v: s + v)
     overlap = F.size(F.array_intersect("x", "y"))
     # |x - y| + |y - x| = both - 2 * overlap is at least the difference of the bins.
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
+        left.join(right, "centre")
         .where((100 + percent) * (both - apart) >= 2 * percent * both)
         .where(100 * overlap >= percent * (both - overlap))
-        .select("a", "b")
+        .select(F.col("centre").alias("a"), F.col("key").alias("b"))
+        .distinct()
     )
 
 
@@ -174,34 +187,26 @@ def near_duplicates(
 
     grams = map_arrow(docs.select("text"), _prefixes(size, percent, order), "gram long, key long, n int, place int")
     by_gram = W.partitionBy("gram")
+    # The shorter of two linked sets has the shared gram in its index prefix, for which the
+    # overlap needed with longer ones is 2 t / (1 + t) of its own size; the others only probe.
+    indexed = (100 + percent) * (F.col("n") - F.col("place")) >= 2 * percent * F.col("n")
     shared = (
         grams.withColumn("centre", F.min(F.struct("place", "n", "key")).over(by_gram))
         .withColumn("last", F.max("key").over(by_gram))
         .withColumn("first", F.min("key").over(by_gram))
+        .withColumn("shortest", F.min(F.when(indexed, F.col("n"))).over(by_gram))
         .where("first <> last")
-        .select("gram", "key", "n", "place", "centre")
+        .where(indexed | (F.col("shortest") < F.col("n")))
+        .select("gram", "key", "n", "place", F.col("centre.place").alias("cplace"), F.col("centre.n").alias("cn"), F.col("centre.key").alias("ckey"))
     )
     shared = cut(shared)
-    wanted = shared.select("key").distinct()
-    # One id per key suffices to fetch a text; null ids are matched as such.
-    ids = rows.join(wanted, "key").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct()
-    texts = docs.join(ids.withColumnRenamed("id", "wanted_id"), F.expr("id <=> wanted_id"), "left_semi").select("text")
-    sets = cut(
-        map_arrow(texts, _sets(size), "key long, grams array<long>, bins array<int>")
-        .join(wanted, "key", "left_semi")
-        .dropDuplicates(["key"])
-    )
-
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    star = shared.where(F.col("key") != F.col("centre.key")).where(
-        _may_link(F.col("n"), F.col("place"), F.col("centre.n"), F.col("centre.place"), percent)
-    )
-    star = cut(star.select(*pair(F.col("key"), F.col("centre.key"))).distinct())
-    links = cut(_verified(star, sets, percent))
+    star = shared.where("key <> ckey").where(_may_link(F.col("n"), F.col("place"), F.col("cn"), F.col("cplace"), percent))
+    star = cut(star.select(F.col("ckey").alias("centre"), "key").distinct())
+    links = cut(_verified(star, rows, docs, size, percent))
     labels = components(links)
 
     # What is left: prefix matches across components. The shorter side needs the index prefix only.
-    known = shared.drop("centre").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    known = shared.select("gram", "key", "n", "place").join(labels.withColumnRenamed("node", "key"), "key", "left")
     known = known.withColumn("label", F.coalesce("label", "key"))
     known = (
         known.withColumn("low", F.min("label").over(by_gram))
@@ -218,9 +223,10 @@ def near_duplicates(
         & ((c("x.n") < c("y.n")) | ((c("x.n") == c("y.n")) & (c("x.key") < c("y.key"))))
         & _may_link(c("x.n"), c("x.place"), c("y.n"), c("y.place"), percent),
     )
-    rest = rest.select(*pair(c("x.key"), c("y.key"))).distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(_verified(cut(rest), sets, percent))
-    labels = components(links.union(more)).withColumnRenamed("node", "key")
+    rest = rest.select(F.least("x.key", "y.key").alias("centre"), F.greatest("x.key", "y.key").alias("key")).distinct()
+    tried = star.union(star.select(F.col("key").alias("centre"), F.col("centre").alias("key")))
+    rest = cut(rest.join(tried, ["centre", "key"], "left_anti"))
+    labels = components(links.union(cut(_verified(rest, rows, docs, size, percent)))).withColumnRenamed("node", "key")
 
     per_key = rows.where("key <> 0").groupBy("key").agg(F.min("id").alias("own")).join(labels, "key", "left")
     per_key = per_key.withColumn("label", F.coalesce("label", "key"))
