@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Entries that a worker's cache of word hashes holds before it starts afresh.
-CACHE = 1 << 20
+CACHE = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -30,6 +30,8 @@ PERCENT = 80
 BUCKETS = 1 << 16
 #: Bins of the suffix filter.
 BINS = 16
+#: Grams that a worker gathers before it passes rows on, whatever the length of texts.
+CHUNK = 1 << 20
 
 
 def shingles(text: str | None, size: int) -> tuple[int, np.ndarray]:
@@ -53,12 +55,16 @@ def _profile(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            keys, ns, found = [], [], [np.empty(0, np.uint64)]
-            for text in batch.column(1).to_pylist():
-                key, grams = shingles(text, size)
+            keys, ns, found, held = [], [], [np.empty(0, np.uint64)], 0
+            for text in batch.column(1):
+                key, grams = shingles(text.as_py(), size)
                 keys.append(key)
                 ns.append(len(grams))
                 found.append(grams & np.uint64(BUCKETS - 1))
+                held += len(grams)
+                if held >= CHUNK:
+                    counts += np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS)
+                    found, held = [np.empty(0, np.uint64)], 0
             counts += np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(keys), np.int8)), batch.column(0), pa.array(_signed(np.array(keys, np.uint64))), pa.array(np.array(ns, np.int64))],
@@ -77,11 +83,17 @@ def _prefixes(size: int, percent: int, order):
     """Documents -> their prefix grams, once per task for equal word sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(columns) -> pa.RecordBatch:
+            grams, keys, ns, places = map(np.concatenate, columns)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(_signed(grams)), pa.array(_signed(keys)), pa.array(ns), pa.array(places)], names=["gram", "key", "n", "place"]
+            )
+
         frequency, seen = order.value, set()
         for batch in batches:
-            grams, keys, ns, places = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                key, own = shingles(text, size)
+            columns, held = ([], [], [], []), 0
+            for text in batch.column(0):
+                key, own = shingles(text.as_py(), size)
                 if not len(own) or key in seen:
                     continue
                 seen.add(key)
@@ -89,15 +101,15 @@ def _prefixes(size: int, percent: int, order):
                 length = n - -(-percent * n // 100) + 1
                 rarity = frequency[(own & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 first = np.lexsort((own, rarity))[:length] if n > 1 else np.zeros(1, np.int64)
-                grams.append(own[first])
-                keys.append(np.full(length, key, np.uint64))
-                ns.append(np.full(length, n, np.int32))
-                places.append(np.arange(length, dtype=np.int32))
-            if grams:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(np.concatenate(grams))), pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(ns)), pa.array(np.concatenate(places))],
-                    names=["gram", "key", "n", "place"],
-                )
+                mine = (own[first], np.full(length, key, np.uint64), np.full(length, n, np.int32), np.arange(length, dtype=np.int32))
+                for column, x in zip(columns, mine):
+                    column.append(x)
+                held += length
+                if held >= CHUNK:
+                    yield packed(columns)
+                    columns, held = ([], [], [], []), 0
+            if held:
+                yield packed(columns)
 
     return run
 
@@ -106,24 +118,32 @@ def _sets(size: int):
     """(centre, key, text) -> (centre, key, grams, bins); rows whose text has another key go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(centres, keys, sets, bins) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(centres, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))],
+                names=["centre", "key", "grams", "bins"],
+            )
+
         seen = set()
         for batch in batches:
-            centres, keys, sets, bins = [], [], [], []
-            for centre, wanted, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            rows, held = ([], [], [], []), 0
+            for centre, wanted, text in zip(*(batch.column(k) for k in range(3))):
+                centre, wanted = centre.as_py(), wanted.as_py()
                 if (centre, wanted) in seen:
                     continue
-                key, own = shingles(text, size)
+                key, own = shingles(text.as_py(), size)
                 if int(np.uint64(key).view(np.int64)) != wanted:
                     continue
                 seen.add((centre, wanted))
-                centres.append(centre)
-                keys.append(wanted)
-                sets.append(_signed(own))
-                bins.append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=BINS).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(centres, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))],
-                names=["centre", "key", "grams", "bins"],
-            )
+                bins = np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=BINS).astype(np.int32)
+                for column, x in zip(rows, (centre, wanted, _signed(own), bins)):
+                    column.append(x)
+                held += len(own)
+                if held >= CHUNK:
+                    yield packed(*rows)
+                    rows, held = ([], [], [], []), 0
+            if rows[0]:
+                yield packed(*rows)
 
     return run
 
