@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, so that a lost executor costs no recomputation."""
+    """``df`` written once to the shared folder, so that a lost executor costs no recomputation.
+
+    Shuffle files of earlier steps, which nothing reads any more, go first: Spark removes them
+    only once the driver has collected the plans that made them, and a driver with a large
+    heap would leave them on the executors' disks for half an hour.
+    """
     shared_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint()
 
 
