@@ -26,8 +26,11 @@ from .hashing import gram_hashes, scramble, word_hashes
 SHINGLE = 5
 #: Similarity bound in hundredths.
 PERCENT = 80
-#: Hash buckets whose corpus frequencies order the grams; half a megabyte, whatever the corpus.
-BUCKETS = 1 << 16
+#: Hash buckets whose corpus frequencies order the grams; 16 MB, whatever the corpus.
+BUCKETS = 1 << 22
+#: A task reports buckets that hold more grams than this, plus as many times its mean. Any order
+#: that all documents share gives the same links; what is rare everywhere only ties.
+REPORTED = 3
 #: Bins of the suffix filter.
 BINS = 16
 #: Grams that a worker gathers before it passes rows on, whatever the length of texts.
@@ -53,7 +56,7 @@ def _profile(size: int):
     """Documents -> (kind 0: id, key, n) and, per task, (kind 1: bucket, -, frequency)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.int32)
         for batch in batches:
             keys, ns, found, held = [], [], [np.empty(0, np.uint64)], 0
             for text in batch.column(1):
@@ -63,16 +66,16 @@ def _profile(size: int):
                 found.append(grams & np.uint64(BUCKETS - 1))
                 held += len(grams)
                 if held >= CHUNK:
-                    counts += np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS)
+                    counts += np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS).astype(np.int32)
                     found, held = [np.empty(0, np.uint64)], 0
-            counts += np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS)
+            counts += np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(keys), np.int8)), batch.column(0), pa.array(_signed(np.array(keys, np.uint64))), pa.array(np.array(ns, np.int64))],
                 names=["kind", "id", "key", "n"],
             )
-        seen = np.flatnonzero(counts)
+        seen = np.flatnonzero(counts > REPORTED * (1 + counts.sum(dtype=np.int64) / BUCKETS))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(seen), np.int8)), pa.array(seen.astype(np.int64)), pa.array(np.zeros(len(seen), np.int64)), pa.array(counts[seen])],
+            [pa.array(np.ones(len(seen), np.int8)), pa.array(seen.astype(np.int64)), pa.array(np.zeros(len(seen), np.int64)), pa.array(counts[seen].astype(np.int64))],
             names=["kind", "id", "key", "n"],
         )
 
@@ -200,9 +203,9 @@ def near_duplicates(
     profile = cut(map_arrow(docs, _profile(size), "kind byte, id long, key long, n long"))
     rows = profile.where("kind = 0").select("id", "key", "n")
 
-    frequency = np.zeros(BUCKETS, np.int64)
+    frequency = np.zeros(BUCKETS, np.float32)
     counted = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    frequency[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    frequency[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float32)
     order = spark.sparkContext.broadcast(frequency)
 
     grams = map_arrow(docs.select("text"), _prefixes(size, percent, order), "gram long, key long, n int, place int")
