@@ -219,26 +219,33 @@ def near_duplicates(
         .where(indexed | (F.col("shortest") < F.col("n")))
         .select("gram", "key", "n", "place", F.col("centre.place").alias("cplace"), F.col("centre.n").alias("cn"), F.col("centre.key").alias("ckey"))
     )
-    shared = cut(shared)
+    # Tasks that met the same word sequence have each reported it.
+    shared = cut(shared.dropDuplicates(["gram", "key"]))
     star = shared.where("key <> ckey").where(_may_link(F.col("n"), F.col("place"), F.col("cn"), F.col("cplace"), percent))
     star = cut(star.select(F.col("ckey").alias("centre"), "key").distinct())
     links = cut(_verified(star, rows, docs, size, percent))
     labels = components(links)
 
-    # What is left: prefix matches across components. The shorter side needs the index prefix only.
+    # What is left: prefix matches across components. Grams of one passage have the same
+    # holders, which meet once for all of them, by the least place of each: no pair is lost,
+    # and grams whose holders are confused by a hash would only add pairs to verify.
     known = shared.select("gram", "key", "n", "place").join(labels.withColumnRenamed("node", "key"), "key", "left")
     known = known.withColumn("label", F.coalesce("label", "key"))
     known = (
         known.withColumn("low", F.min("label").over(by_gram))
         .withColumn("high", F.max("label").over(by_gram))
+        .withColumn("holders", F.bit_xor(F.xxhash64("key")).over(by_gram))
+        .withColumn("held", F.count("key").over(by_gram))
         .where("low <> high")
-        .select("gram", "key", "n", "place", "label")
+        .groupBy("holders", "held", "key")
+        .agg(F.first("n").alias("n"), F.first("label").alias("label"), F.min("place").alias("place"))
     )
     x, y = known.alias("x"), known.alias("y")
     c = F.col
     rest = x.join(
         y,
-        (c("x.gram") == c("y.gram"))
+        (c("x.holders") == c("y.holders"))
+        & (c("x.held") == c("y.held"))
         & (c("x.label") != c("y.label"))
         & ((c("x.n") < c("y.n")) | ((c("x.n") == c("y.n")) & (c("x.key") < c("y.key"))))
         & _may_link(c("x.n"), c("x.place"), c("y.n"), c("y.place"), percent),
