@@ -15,6 +15,7 @@ from ..operators import jobs as J
 from ..operators import layout as L
 from ..operators import series as S
 from ..operators import transactions as X
+from ..sources import files as I
 from ..sources import html as H
 from . import fixtures as fx
 from .fixtures import table
@@ -561,6 +562,18 @@ def html_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", H.html_text(F.col("html")).alias("text"))
 
 
+@query(f"with t as (select page_id, {_ENTITIES.format(_STRIP_HTML)} as t from pages) select page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, e' \\t\\r\\n\\x0B\\f')), lambda x: x <> ''), chr(10)) as text from t")
+def mhtml_text(s: SparkSession, d: str) -> DataFrame:
+    files = fx.archives(s, d)
+    return I.parse(files).select(F.regexp_extract("filename", r"^(\d+)", 1).cast("long").alias("page_id"), "text")
+
+
+@query("select p_partkey, trim(p_name) || chr(10) || trim(p_brand) as text, 'docx' as ext from part")
+def docx_text(s: SparkSession, d: str) -> DataFrame:
+    files = fx.word_files(s, d)
+    return I.parse(files).select(F.regexp_extract("filename", r"^(\d+)", 1).cast("long").alias("p_partkey"), "text", "ext")
+
+
 @query(f"select page_id, {_ENTITIES.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} as title, regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') as site_name from pages")
 def html_meta(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", H.title(F.col("html")).alias("title"), H.site_name(F.col("url")).alias("site_name"))

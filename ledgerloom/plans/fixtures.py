@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -152,3 +159,27 @@ boxes as (
   select (p_partkey % 97)::varchar as doc, 1 as page, p_size * 8.0 as bx0, (p_partkey % 90) * 1.0 as by0, p_size * 8.0 + 60 as bx1, (p_partkey % 90) * 1.0 + 20 as by1
   from part where p_partkey % 3 = 0
 )"""
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as an MHTML file: filename, content."""
+    head = "Subject: page\nContent-Type: multipart/related; boundary=\"b0\"\n\n--b0\nContent-Type: text/html\nContent-Transfer-Encoding: base64\n\n"
+    body = F.concat(F.lit(head), F.base64(F.encode("html", "UTF-8")), F.lit("\n--b0--\n"))
+    return table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".mhtml")).alias("filename"), F.encode(body, "UTF-8").alias("content"))
+
+
+def _docx(batches):
+    for batch in batches:
+        made = []
+        for key, name, brand in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            lines = "".join(f"<w:p><w:r><w:t>{escape(x or '')}</w:t></w:r></w:p>" for x in (name, "", brand))
+            with zipfile.ZipFile(out := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{lines}</w:body></w:document>')
+            made.append((f"{key}.docx", out.getvalue()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], kind) for k, kind in enumerate((pa.string(), pa.binary()))], names=["filename", "content"])
+
+
+def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name and brand as the paragraphs of a DOCX file: filename, content."""
+    ship(spark)
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").mapInArrow(_docx, "filename string, content binary")
