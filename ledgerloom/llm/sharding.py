@@ -11,13 +11,15 @@ inside one block, so no task holds a whole shard.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import cut, fresh, text_or_empty
+from .common import cut, fresh, shared_dir, text_or_empty
 
 #: Rows of one size class that a block holds on average, at most.
 BLOCK_ROWS = 20_000
@@ -150,40 +152,79 @@ def reshard(
     )
 
 
-def rewrite(df: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", old_col: str = "old_shard") -> list[int]:
+def shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of the shard files under ``path``; ``schema`` names all columns, the shard last."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def rewrite(
+    df: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", old_col: str = "old_shard", shard_col: str | None = None
+) -> list[int]:
     """Writes the shards that gain or lose rows under ``path``/shard=N and returns their numbers.
 
     ``placed`` maps the ids of ``df``, which must be unique, to old and new shards; files
-    of other shards are left as they are.
+    of other shards are left as they are, and those of shards left without rows go.
+    ``df`` may be read from ``path`` itself: its column ``shard_col`` of old shards is then
+    replaced, and names the folders.
     """
     moved = placed.where(F.col("shard") != F.col(old_col))
     touched = moved.select(F.explode(F.array("shard", old_col)).alias("s")).distinct().orderBy("s")
     numbers = [r[0] for r in touched.collect()]  # shard numbers only
-    shard = fresh(df, "shard")
-    ids = placed.where(F.col("shard").isin(numbers)).select(F.col(id_col).alias("_id"), F.col("shard").alias(shard))
-    rows = df.join(ids, df[id_col].eqNullSafe(ids["_id"])).drop("_id")
-    spark = df.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        rows.write.mode("overwrite").partitionBy(shard).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    df = df if shard_col is None else df.where(F.col(shard_col).isin(numbers)).drop(shard_col)
+    shard = shard_col or fresh(df, "shard")
+    key = fresh(df, "_id")
+    ids = placed.where(F.col("shard").isin(numbers)).select(F.col(id_col).alias(key), F.col("shard").alias(shard))
+    rows = df.join(ids, df[id_col].eqNullSafe(ids[key])).drop(key)
+    _write(rows, path, shard)
+    # Dynamic overwriting replaces only the folders that get rows.
+    filled = {r[0] for r in ids.select(shard).distinct().collect()}
+    context = df.sparkSession.sparkContext
+    for n in set(numbers) - filled:
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{shard}={n}")
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
     return numbers
 
 
+def _write(rows: DataFrame, path: str, shard: str) -> None:
+    """Replaces the folders of the shards that ``rows`` has."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(shard).parquet(path)
+
+
 #: Shards before and after in the query.
 OLD, NEW = 32, 40
 
 
 def op1(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
-    """From ``old`` shards dealt by a hash of the id to ``new`` ones of near equal bytes (law ``bytes``)."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text_or_empty()) + 16).cast("long").alias("size"),
-        F.crc32(F.encode(text_or_empty(), "UTF-8")).alias("text_crc32"),
-    ).withColumn("old_shard", F.pmod(F.xxhash64("doc_id"), F.lit(old)).cast("int"))
-    placed = reshard(rows, lambda total: equal_capacities(total, new))
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+    """From ``old`` shards dealt by a hash of the id to ``new`` ones of near equal bytes (law ``bytes``).
+
+    The old shards are laid out as files in the shared folder, with all columns of ``docs``;
+    those that gain or lose rows are rewritten there, and size, checksum and shard are read
+    back from the files.
+    """
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    row, shard = fresh(docs, "row"), fresh(docs, "shard")
+    # Ids may be null or repeated, so rows are numbered; the files keep the numbers.
+    dealt = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(old)).cast("int")
+    laid = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(shard, dealt)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in laid.schema])
+    _write(laid, path, shard)
+    before = shards(spark, path, schema)
+
+    def figures(files: DataFrame, shard_name: str) -> DataFrame:
+        return files.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (F.octet_length(text_or_empty()) + 16).cast("long").alias("size"),
+            F.crc32(F.encode(text_or_empty(), "UTF-8")).alias("text_crc32"),
+            F.col(shard).alias(shard_name),
+            F.col(row).alias("row_number"),
+        )
+
+    placed = reshard(figures(before, "old_shard"), lambda total: equal_capacities(total, new))
+    placed = cut(placed.select(F.col("row_number").alias(row), "old_shard", "shard", F.col("slot").cast("long").alias("slot")))
+    rewrite(before, placed, path, row, "old_shard", shard)
+    after = figures(shards(spark, path, schema), "shard")
+    slots = placed.select(F.col(row).alias("row_number"), "slot", "old_shard")
+    return after.join(slots, "row_number").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
     )

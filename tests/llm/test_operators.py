@@ -108,6 +108,28 @@ def test_rewrite_touches_only_changed_shards(spark, tmp_path):
     assert sorted((r.doc_id, r.shard) for r in got.collect()) == [(0, 0), (1, 2), (4, 2), (5, 2)]
 
 
+def test_rewrite_empties_shards_without_rows(spark, tmp_path):
+    path = str(tmp_path / "out")
+    docs = spark.createDataFrame([(k, f"t{k}", k // 2) for k in range(6)], "doc_id long, text string, shard int")
+    docs.write.partitionBy("shard").parquet(path)
+    placed = spark.createDataFrame([(0, 0, 0), (1, 0, 0), (2, 1, 1), (3, 1, 1), (4, 2, 0), (5, 2, 1)], "doc_id long, old_shard int, shard int")
+    assert sharding.rewrite(spark.read.parquet(path), placed, path, shard_col="shard") == [0, 1, 2]
+    got = [(r.doc_id, r.text, r.shard) for r in spark.read.parquet(path).collect()]
+    assert sorted(got) == [(0, "t0", 0), (1, "t1", 0), (2, "t2", 1), (3, "t3", 1), (4, "t4", 0), (5, "t5", 1)]
+
+
+@pytest.mark.parametrize("old, new", [(4, 5), (5, 2), (3, 3)])
+def test_shard_files_hold_the_texts(spark, tmp_path, monkeypatch, old, new):
+    """The files, not only the plan: every text once, in its shard; fewer shards leave none behind."""
+    monkeypatch.setattr(sharding, "shared_dir", lambda s: str(tmp_path))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {(r.doc_id, r.shard, r.text_crc32) for r in sharding.op1(docs, old, new).collect()}
+    (folder,) = tmp_path.glob("shards-*")
+    held = [(r.doc_id, r.shard, crc32((r.text or "").encode())) for r in spark.read.parquet(str(folder)).collect()]
+    assert len(held) == docs.count() and set(held) == got
+    assert {p.name for p in folder.glob("shard=*")} == {f"shard={k}" for k in range(new)}
+
+
 def test_near_copies_by_brute_force(spark, rng):
     base = [[rng.choice("abcdefghijklmnop") for _ in range(60)] for _ in range(6)]
     docs = []
