@@ -277,6 +277,36 @@ def test_licenses():
     assert licenses.find("nothing of the kind", chosen) == []
 
 
+def test_licenses_in_longer_lines_and_whole_texts():
+    chosen = tuple(sorted(licenses.TEMPLATES.items()))
+    names = lambda text: {n for n, *_ in licenses.find(text, chosen)}
+    assert names("This work is licensed under the GNU General Public License, version 3.") == {"GPL-short"}
+    assert names("This work is licensed under the GNU General Public License, version 2.") == {"GPL-2.0-short"}
+    assert names("Licensed under the Apache License, Version 1.1.") == set()
+    assert names("x\nLicensed under CC BY-NC 4.0.\ny") == {"CC-BY-NC-4.0-short"}
+    assert names("Note well: all of it is released under the MIT License. And so on, in one long line.") == {"MIT-short"}
+    for name in ("MIT-text", "BSD-3-text", "GPL-3.0-text"):
+        whole = "lorem ipsum " * 50 + " ".join(licenses.TEMPLATES[name].split()) + " dolor sit" * 50
+        assert name in names(whole) and name in names("Copyright (c) 2020 A. Body " + whole)
+        assert (name, 1.0) in {(n, d) for n, _, _, d in licenses.find("a\n" + licenses.TEMPLATES[name], chosen)}
+
+
+def test_license_windows_by_brute_force(rng):
+    for _ in range(300):
+        template = " ".join(rng.choices("abcd", k=rng.randint(1, 12)))
+        words = rng.choices("abcde", k=rng.randint(0, 25))
+        if rng.random() < 0.7:
+            at = rng.randint(0, len(words))
+            words[at:at] = template.split()
+        grams = licenses.bigrams(template.split())
+        best = 0.0
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                best = max(best, licenses.dice(licenses.bigrams(words[i:j]), grams))
+        got = licenses.find("\n".join(words), (("t", template),))
+        assert [round(d, 9) for *_, d in got] == ([round(best, 9)] if best >= licenses.DICE else [])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
