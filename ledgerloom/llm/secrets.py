@@ -4,7 +4,8 @@ A candidate is a maximal run of characters that keys are made of. Within it, run
 hexadecimal and of base64 characters are scanned with a window of fixed length whose
 character counts are updated as it moves, so each step costs two table look-ups. Windows
 whose Shannon entropy reaches the class's bound are merged into spans. The allow-list
-suppresses strings that look random without being secret.
+suppresses strings that look random without being secret; where it knows only a part of a
+candidate, the rest is scanned.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,9 +34,12 @@ HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _CLASSES = {"hexrand": re.compile(r"[0-9A-Fa-f]{20,}"), "base64rand": re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")}
-#: Suppressed: UUIDs, version-like and path-like strings, runs of a sequence, documentation samples.
-ALLOW = re.compile(
-    r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ|^(?:[a-z]+[/_-])+[a-z]*$|^[a-z]+$|^[A-Z]+$|^[A-Z]?[a-z]+(?:[A-Z][a-z]+)+$"
+#: Suppressed as a whole: path-like strings, words.
+ALLOW = re.compile(r"^(?:[a-z]+[/_-])+[a-z]*$|^[a-z]+$|^[A-Z]+$|^[A-Z]?[a-z]+(?:[A-Z][a-z]+)+$")
+#: Suppressed where they stand, with the windows that overlap them: a documentation sample, UUIDs, markers, runs of a sequence.
+ALLOW_PART = re.compile(
+    r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|EXAMPLE|example|0123456789"
+    + "".join(f"|{x[:10]}{'?'.join(x[10:])}?" for x in (string.ascii_lowercase, string.ascii_uppercase))
 )
 _PLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
@@ -78,12 +83,14 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         own = candidate[0]
         if ALLOW.search(own):
             continue
-        for kind, pattern in _CLASSES.items():
-            for m in pattern.finditer(own):
-                if kind == "base64rand" and (m[0].isalpha() and (m[0].islower() or m[0].isupper()) or _CLASSES["hexrand"].fullmatch(m[0])):
-                    continue
-                at = candidate.start() + m.start()
-                added += [(at + a, KINDS.index(kind), at + b) for a, b in windows(m[0], BOUNDS[kind])]
+        ends = [0, *(x for m in ALLOW_PART.finditer(own) for x in m.span()), len(own)]
+        for start, end in zip(ends[::2], ends[1::2]):
+            for kind, pattern in _CLASSES.items():
+                for m in pattern.finditer(own, start, end):
+                    if kind == "base64rand" and (m[0].isalpha() and (m[0].islower() or m[0].isupper()) or _CLASSES["hexrand"].fullmatch(m[0])):
+                        continue
+                    at = candidate.start() + m.start()
+                    added += [(at + a, KINDS.index(kind), at + b) for a, b in windows(m[0], BOUNDS[kind])]
     return sorted(base), sorted(added)
 
 
