@@ -227,17 +227,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def tokenize(df: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text", outputs: bool = True) -> DataFrame:
-    """One row per document: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, with ``outputs``, ``ids`` and ``offsets``.
+def tokenize(df: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``ids`` and ``offsets``.
 
     ``ranks`` is a rank file's name among the public tokenizers or a path that every
     worker can open. ``offsets`` are byte offsets of the tokens, enough to decode any
-    range. Null and empty texts have no tokens; repeated rows give repeated results;
-    only the two named columns are read; special tokens are ordinary text.
+    range; the decoded digest is of the bytes that the ids stand for. Null and empty texts have no tokens; repeated rows give repeated results;
+    an empty table gives no rows; a text is encoded as a whole, however long; only the two named
+    columns are read, whatever others are called; special tokens are ordinary text.
     """
-    wanted = f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    wanted += ", ids array<int>, offsets array<long>" if outputs else ""
-    names = [x.split()[0] for x in wanted.split(", ")]
+    wanted = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, offsets array<int>"
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "offsets"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(ranks if "/" in ranks else public_tokenizers.path(ranks))
@@ -245,11 +245,9 @@ def tokenize(df: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text_col
             rows = []
             for text in batch.column(1).to_pylist():
                 ids = np.frombuffer(code.ids(text or ""), "<u4")
-                row = [len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(code.decode(ids)).hexdigest()]
-                if outputs:
-                    row += [ids.astype(np.int32), np.cumsum(code.lengths[ids]) - code.lengths[ids]]
-                rows.append(row)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                offsets = (np.cumsum(code.lengths[ids]) - code.lengths[ids]).astype(np.int32)
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(code.decode(ids)).hexdigest(), ids.view(np.int32), offsets))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
@@ -257,4 +255,5 @@ def tokenize(df: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text_col
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    return tokenize(docs, outputs=False)
+    """Per document: number of tokens, digests of the ids and of the bytes decoded from them; see ``tokenize`` for awkward rows."""
+    return tokenize(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

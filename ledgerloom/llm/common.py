@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,29 +14,81 @@ from ..shipping import ship
 BROADCAST_ROWS = 200_000
 
 
+#: Spark removes the shuffle files of a query when the query ends.
+_SHED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests, a local folder is made.
+    A cluster names it in ``spark.checkpoint.dir``; only a local master, as in tests, may
+    leave that unset, and gets a local folder.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="ledgerloom-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, so that a lost executor costs no recomputation.
+class Tables:
+    """The written tables of one operator, as Parquet in the shared folder.
 
-    Shuffle files of earlier steps, which nothing reads any more, go first: Spark removes them
-    only once the driver has collected the plans that made them, and a driver with a large
-    heap would leave them on the executors' disks for half an hour.
+    A written table cuts the lineage, so that a lost executor costs no recomputation of earlier
+    steps, and is read column by column. Within a ``with`` block the shuffle files of each step go when the step
+    ends, and the tables when the block does, except those that ``keep`` wrote: frames
+    that an operator returns still read them.
     """
-    shared_dir(df.sparkSession)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.checkpoint()
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Tables:
+        self.before = self.spark.conf.get(_SHED, None)
+        self.spark.conf.set(_SHED, "true")
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.before is None:
+            self.spark.conf.unset(_SHED)
+        else:
+            self.spark.conf.set(_SHED, self.before)
+        for path in self.paths.values():
+            delete(self.spark, path)
+        self.paths.clear()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return self._written(df)[0]
+
+    def write(self, df: DataFrame) -> DataFrame:
+        out, path = self._written(df)
+        self.paths[path] = path
+        out._table_path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table that nothing reads any more before the block ends."""
+        delete(self.spark, self.paths.pop(df._table_path))
+
+    def _written(self, df: DataFrame) -> tuple[DataFrame, str]:
+        path = f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder in whatever store Spark knows it by."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, where it stays for the frames that read it."""
+    with Tables(df.sparkSession) as tables:
+        return tables.keep(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,17 +113,20 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(tables: Tables, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: one row (node, label) per end of a link, label the smallest node reachable.
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014), which need
     O(log n) rounds; every round works on distinct edges, and a node's neighbours are never
     gathered in one place, only their minimum. Neither links nor labels reach the driver.
+    The labels read a table of ``tables``.
     """
-    edges = cut(
+    edges = tables.write(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
-    while True:
+    digest = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = digest(edges)
+    while before[0]:
         # Large star: neighbours larger than u are tied to the smallest of u's neighbourhood.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -79,16 +134,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Small star: the smaller neighbours of u, and u itself, are tied to the smallest.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = large.join(low, "u").select(F.col("v").alias("x"), "m", "u")
-        after = cut(
+        after = tables.write(
             small_star.select(F.col("x").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v")))
             .where("u <> v")
             .distinct()
         )
-        digest = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if digest(after) == digest(edges):
-            break
+        now = digest(after)
+        tables.drop(edges)
         edges = after
+        if now == before:
+            break
+        before = now
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
         roots.select("node", F.col("node").alias("label"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, cut, fresh, map_arrow, small
+from .common import Tables, components, fresh, map_arrow, small
 from .hashing import gram_hashes, scramble, word_hashes
 
 SHINGLE = 5
@@ -28,8 +28,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Hash buckets whose corpus frequencies order the grams; half a megabyte, whatever the corpus.
 BUCKETS = 1 << 16
-#: Bins of the suffix filter.
-BINS = 16
+#: Bins of the suffix filter: in how many of a set's grams each value of six hash bits occurs, at most 65535.
+BINS = 64
 #: Grams that a worker gathers before it passes rows on, whatever the length of texts.
 CHUNK = 1 << 20
 
@@ -50,16 +50,17 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _profile(size: int):
-    """Documents -> (kind 0: id, key, n) and, per task, (kind 1: bucket, -, frequency)."""
+    """Documents -> (kind 0: id, key, n, bins) and, per task, (kind 1: bucket, -, frequency, -)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            keys, ns, found, held = [], [], [np.empty(0, np.uint64)], 0
+            keys, ns, bins, found, held = [], [], [], [np.empty(0, np.uint64)], 0
             for text in batch.column(1):
                 key, grams = shingles(text.as_py(), size)
                 keys.append(key)
                 ns.append(len(grams))
+                bins.append(np.minimum(np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes())
                 found.append(grams & np.uint64(BUCKETS - 1))
                 held += len(grams)
                 if held >= CHUNK:
@@ -67,13 +68,13 @@ def _profile(size: int):
                     found, held = [np.empty(0, np.uint64)], 0
             counts += np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(keys), np.int8)), batch.column(0), pa.array(_signed(np.array(keys, np.uint64))), pa.array(np.array(ns, np.int64))],
-                names=["kind", "id", "key", "n"],
+                [pa.array(np.zeros(len(keys), np.int8)), batch.column(0), pa.array(_signed(np.array(keys, np.uint64))), pa.array(np.array(ns, np.int64)), pa.array(bins, pa.binary())],
+                names=["kind", "id", "key", "n", "bins"],
             )
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(seen), np.int8)), pa.array(seen.astype(np.int64)), pa.array(np.zeros(len(seen), np.int64)), pa.array(counts[seen])],
-            names=["kind", "id", "key", "n"],
+            [pa.array(np.ones(len(seen), np.int8)), pa.array(seen.astype(np.int64)), pa.array(np.zeros(len(seen), np.int64)), pa.array(counts[seen]), pa.nulls(len(seen), pa.binary())],
+            names=["kind", "id", "key", "n", "bins"],
         )
 
     return run
@@ -115,18 +116,17 @@ def _prefixes(size: int, percent: int, order):
 
 
 def _sets(size: int):
-    """(centre, key, text) -> (centre, key, grams, bins); rows whose text has another key go."""
+    """(centre, key, text) -> (centre, key, grams); rows whose text has another key go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(centres, keys, sets, bins) -> pa.RecordBatch:
+        def packed(centres, keys, sets) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(centres, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))],
-                names=["centre", "key", "grams", "bins"],
+                [pa.array(centres, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["centre", "key", "grams"]
             )
 
         seen = set()
         for batch in batches:
-            rows, held = ([], [], [], []), 0
+            rows, held = ([], [], []), 0
             for centre, wanted, text in zip(*(batch.column(k) for k in range(3))):
                 centre, wanted = centre.as_py(), wanted.as_py()
                 if (centre, wanted) in seen:
@@ -135,19 +135,34 @@ def _sets(size: int):
                 if int(np.uint64(key).view(np.int64)) != wanted:
                     continue
                 seen.add((centre, wanted))
-                bins = np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=BINS).astype(np.int32)
-                for column, x in zip(rows, (centre, wanted, _signed(own), bins)):
+                for column, x in zip(rows, (centre, wanted, _signed(own))):
                     column.append(x)
                 held += len(own)
                 if held >= CHUNK:
                     yield packed(*rows)
-                    rows, held = ([], [], [], []), 0
+                    rows, held = ([], [], []), 0
             if rows[0]:
                 yield packed(*rows)
 
     return run
 
 
+def _suffix(percent: int):
+    """(centre, key, sizes n and m, bins p and q) -> the pairs that the bins don't rule out.
+
+    |x - y| + |y - x| = n + m - 2 * overlap is at least the difference of the bins.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, BINS).astype(np.int32) for k in (4, 5))
+            apart = np.abs(p - q).sum(1)
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * (both - apart) >= 2 * percent * both))
+
+    return run
+
+
 def _may_link(n: Column, place: Column, m: Column, other: Column, percent: int) -> Column:
     """Length filter and positional filter; the overlap needed is t / (1 + t) of both sizes."""
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
@@ -155,30 +170,25 @@ def _may_link(n: Column, place: Column, m: Column, other: Column, percent: int)
     )
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(tables: Tables, pairs: DataFrame, texts: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (centre, key) whose similarity reaches the bound; suffix filter, then intersection.
 
-    Each text asked for is found by one id of its key and sent to its centres as a set, which is
-    the only shuffle of sets. The ids are broadcast if their counted rows are within the bound.
+    The filter sees two sizes and 128 bytes of bins for each text. Only texts of pairs that
+    pass are found, by one id of their key, and sent to their centres as sets. The
+    ids are broadcast if their counted rows are within the bound.
     """
-    both_ends = pairs.select("centre", "key").union(pairs.select("centre", F.col("centre").alias("key")).distinct())
-    ids = rows.where("key <> 0").join(both_ends.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("wanted"))
-    ids, _ = small(cut(both_ends.join(ids, "key").select("wanted", "centre", "key")))
-    texts = docs.join(ids, F.expr("id <=> wanted")).select("centre", "key", "text")
-    sets = map_arrow(texts, _sets(size), "centre long, key long, grams array<long>, bins array<int>")
-    left = sets.where("key <> centre").select("centre", "key", F.col("grams").alias("x"), F.col("bins").alias("p"))
-    right = sets.where("key = centre").select("centre", F.col("grams").alias("y"), F.col("bins").alias("q"))
-    both = F.size("x") + F.size("y")
-    apart = F.aggregate(F.zip_with("p", "q", lambda u, v: F.abs(u - v)), F.lit(0), lambda s, v: s + v)
-    overlap = F.size(F.array_intersect("x", "y"))
-    # |x - y| + |y - x| = both - 2 * overlap is at least the difference of the bins.
-    return (
-        left.join(right, "centre")
-        .where((100 + percent) * (both - apart) >= 2 * percent * both)
-        .where(100 * overlap >= percent * (both - overlap))
-        .select(F.col("centre").alias("a"), F.col("key").alias("b"))
-        .distinct()
-    )
+    ends = [texts.select(F.col("key").alias(k), F.col("n").alias(n), F.col("bins").alias(b)) for k, n, b in (("centre", "n", "p"), ("key", "m", "q"))]
+    both_bins = pairs.join(ends[0], "centre").join(ends[1], "key").select("centre", "key", "n", "m", "p", "q")
+    pairs = tables.write(map_arrow(both_bins, _suffix(percent), "centre long, key long"))
+    both_ends = pairs.union(pairs.select("centre", F.col("centre").alias("key")).distinct())
+    ids, _ = small(tables.write(both_ends.join(texts.select("key", "wanted"), "key").select("wanted", "centre", "key")))
+    asked = docs.join(ids, F.expr("id <=> wanted")).select("centre", "key", "text")
+    sets = map_arrow(asked, _sets(size), "centre long, key long, grams array<long>")
+    left = sets.where("key <> centre").select("centre", "key", F.col("grams").alias("x"))
+    right = sets.where("key = centre").select("centre", F.col("grams").alias("y"))
+    both, overlap = F.size("x") + F.size("y"), F.size(F.array_intersect("x", "y"))
+    linked = left.join(right, "centre").where(100 * overlap >= percent * (both - overlap))
+    return tables.write(linked.select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
 
 
 def near_duplicates(
@@ -197,14 +207,28 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profile = cut(map_arrow(docs, _profile(size), "kind byte, id long, key long, n long"))
-    rows = profile.where("kind = 0").select("id", "key", "n")
+    with Tables(spark) as tables:
+        profile = tables.keep(map_arrow(docs, _profile(size), "kind byte, id long, key long, n long, bins binary"))
+        rows = profile.where("kind = 0").select("id", "key", "n")
+
+        frequency = np.zeros(BUCKETS, np.int64)
+        counted = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each bucket
+        frequency[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+        texts = profile.where("kind = 0 and key <> 0").groupBy("key").agg(F.min("id").alias("wanted"), F.first("n").alias("n"), F.first("bins").alias("bins"))
+        labels = _labels(tables, docs, tables.write(texts), spark.sparkContext.broadcast(frequency), size, percent)
+
+        per_key = rows.where("key <> 0").groupBy("key").agg(F.min("id").alias("own")).join(labels, "key", "left")
+        per_key = per_key.withColumn("label", F.coalesce("label", "key"))
+        least = per_key.groupBy("label").agg(F.min("own").alias("least"))
+        # Keys linked with nothing need no further look-up.
+        per_key = tables.keep(per_key.join(least, "label").select("key", "least"))
+    return rows.join(per_key, "key", "left").select(
+        F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
+    )
 
-    frequency = np.zeros(BUCKETS, np.int64)
-    counted = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    frequency[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    order = spark.sparkContext.broadcast(frequency)
 
+def _labels(tables: Tables, docs: DataFrame, texts: DataFrame, order, size: int, percent: int) -> DataFrame:
+    """(key, label) of all texts that are linked with another one."""
     grams = map_arrow(docs.select("text"), _prefixes(size, percent, order), "gram long, key long, n int, place int")
     by_gram = W.partitionBy("gram")
     # The shorter of two linked sets has the shared gram in its index prefix, for which the
@@ -220,18 +244,18 @@ def near_duplicates(
         .select("gram", "key", "n", "place", F.col("centre.place").alias("cplace"), F.col("centre.n").alias("cn"), F.col("centre.key").alias("ckey"))
     )
     # Tasks that met the same word sequence have each reported it.
-    shared = cut(shared.dropDuplicates(["gram", "key"]))
+    shared = tables.write(shared.dropDuplicates(["gram", "key"]))
     star = shared.where("key <> ckey").where(_may_link(F.col("n"), F.col("place"), F.col("cn"), F.col("cplace"), percent))
-    star = cut(star.select(F.col("ckey").alias("centre"), "key").distinct())
-    links = cut(_verified(star, rows, docs, size, percent))
-    labels = components(links)
+    star = tables.write(star.select(F.col("ckey").alias("centre"), "key").distinct())
+    links = _verified(tables, star, texts, docs, size, percent)
+    labels = components(tables, links)
 
     # What is left: prefix matches across components. Grams of one passage have the same
     # holders, which meet once for all of them, by the least place of each: no pair is lost,
     # and grams whose holders are confused by a hash would only add pairs to verify.
     known = shared.select("gram", "key", "n", "place").join(labels.withColumnRenamed("node", "key"), "key", "left")
     known = known.withColumn("label", F.coalesce("label", "key"))
-    known = (
+    known = tables.write(
         known.withColumn("low", F.min("label").over(by_gram))
         .withColumn("high", F.max("label").over(by_gram))
         .withColumn("holders", F.bit_xor(F.xxhash64("key")).over(by_gram))
@@ -240,6 +264,7 @@ def near_duplicates(
         .groupBy("holders", "held", "key")
         .agg(F.first("n").alias("n"), F.first("label").alias("label"), F.min("place").alias("place"))
     )
+    tables.drop(shared)
     x, y = known.alias("x"), known.alias("y")
     c = F.col
     rest = x.join(
@@ -252,17 +277,9 @@ def near_duplicates(
     )
     rest = rest.select(F.least("x.key", "y.key").alias("centre"), F.greatest("x.key", "y.key").alias("key")).distinct()
     tried = star.union(star.select(F.col("key").alias("centre"), F.col("centre").alias("key")))
-    rest = cut(rest.join(tried, ["centre", "key"], "left_anti"))
-    labels = components(links.union(cut(_verified(rest, rows, docs, size, percent)))).withColumnRenamed("node", "key")
-
-    per_key = rows.where("key <> 0").groupBy("key").agg(F.min("id").alias("own")).join(labels, "key", "left")
-    per_key = per_key.withColumn("label", F.coalesce("label", "key"))
-    least = per_key.groupBy("label").agg(F.min("own").alias("least"))
-    # Keys linked with nothing need no further look-up.
-    per_key = per_key.join(least, "label").select("key", "least")
-    return rows.join(per_key, "key", "left").select(
-        F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
-    )
+    rest = rest.join(tried, ["centre", "key"], "left_anti")
+    links = links.union(_verified(tables, rest, texts, docs, size, percent))
+    return components(tables, links).withColumnRenamed("node", "key")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,11 +291,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own, place = fresh(docs, "id_"), fresh(docs, "place_")
     ids = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(own)).distinct()
     rows = docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col(own)), "left_semi")
-    first = F.row_number().over(W.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0)))
+    # Of rows with one id and text the one whose columns hash lowest stays; rows equal in all of them are alike.
+    alike = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    first = F.row_number().over(W.partitionBy(id_col, F.xxhash64(text_col)).orderBy(alike))
     return rows.withColumn(place, first).where(F.col(place) == 1).drop(place)
 
 
 def op2(docs: DataFrame) -> DataFrame:
+    """Per document: size of its shingle set and the smallest id that links reach; see ``near_duplicates`` for awkward rows."""
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
 
 

@@ -152,37 +152,73 @@ def test_near_copies_by_brute_force(spark, rng):
     assert {r.doc_id: r.n_shingles for r in got} == {k: len(s) for k, s in sets.items()}
 
 
-def test_lines_by_brute_force(spark, rng):
-    base = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))] for _ in range(25)]
+def edits(x, y):
+    """Edit distance, by the textbook."""
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def near_lines(x, y):
+    a, b = x.split(), y.split()
+    if min(len(a), len(b)) >= lines.MIN_WORDS:
+        return edits(a, b) <= 1
+    if max(len(a), len(b)) < lines.MIN_WORDS and min(len(" ".join(a)), len(" ".join(b))) >= lines.MIN_CHARS:
+        return edits(" ".join(a), " ".join(b)) <= 1
+    return a == b
+
+
+def deduped(docs):
+    """Brute force: the texts left of (id, text) rows, ids ascending and distinct."""
+    earlier, out = [], {}
+    for k, t in docs:
+        keep = []
+        for x in t.split("\n"):
+            if not x.split() or not any(near_lines(x, y) for y in earlier):
+                keep.append(x)
+            if x.split():
+                earlier.append(x)
+        out[k] = "\n".join(keep)
+    return out
+
+
+def changed_lines(rng, letters, n, longest):
+    base = [[rng.choice(letters) for _ in range(rng.randint(1, longest))] for _ in range(25)]
 
     def line():
         w = list(rng.choice(base))
         for _ in range(rng.randint(0, 2)):
             i, r = rng.randrange(len(w)), rng.random()
             if r < 0.4:
-                w[i] = rng.choice("xyzab")
+                w[i] = rng.choice(["x", "y", "za", "b"])
             elif r < 0.7:
-                w.insert(i, rng.choice("xyzab"))
+                w.insert(i, rng.choice(["x", "y", "za", "b"]))
             elif len(w) > 1:
                 w.pop(i)
         return " ".join(w)
 
-    docs = [(k, "\n".join(line() if rng.random() < 0.9 else "" for _ in range(8))) for k in range(80)]
-    earlier, want = [], {}
-    for k, t in docs:
-        keep = []
-        for x in t.split("\n"):
-            m = len(x.split())
-            near = lambda y: x == y or min(m, len(y.split())) >= lines.MIN_WORDS and lines.within_one(x, y)  # noqa: B023, E731
-            if not m or not any(map(near, earlier)):
-                keep.append(x)
-            if m:
-                earlier.append(x)
-        want[k] = hashlib.sha256("\n".join(keep).encode()).hexdigest()
+    return [(k, "\n".join(line() if rng.random() < 0.9 else "" for _ in range(8))) for k in range(n)]
+
+
+@pytest.mark.parametrize("letters, longest", [("abcdefgh", 14), (["anwh", "reen,", "are", "isé"], 7)])
+def test_lines_by_brute_force(spark, rng, letters, longest):
+    docs = changed_lines(rng, letters, 80, longest)
+    want = {k: hashlib.sha256(t.encode()).hexdigest() for k, t in deduped(docs).items()}
     got = lines.op4(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text_sha256 for r in got} == want
 
 
+def test_lines_of_repeated_and_null_ids(spark):
+    rows = [(None, "a\nb"), (None, "c\na"), (1, "b\nd"), (1, "b\nd"), (2, None), (3, ""), (4, "d")]
+    got = lines.op4(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted((str(r.doc_id), r.n_lines, r.n_kept) for r in got)
+    assert kept[:5] == [("1", 2, 1), ("1", 2, 1), ("2", 0, 0), ("3", 0, 0), ("4", 1, 0)]
+    assert sorted(x[1:] for x in kept[5:]) == [(2, 1), (2, 2)]  # one of the two texts without an id comes first
+
+
 def test_short_items_and_big_benchmark(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x A-b c y"), (3, "q")], "doc_id long, text string")
     bench = spark.createDataFrame([(10, "b c"), (11, "B, c!"), (12, "a b c d e"), (13, "zz")], "item_id long, text string")
