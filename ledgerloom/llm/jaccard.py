@@ -21,28 +21,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import Tables, components, fresh, map_arrow, small
-from .hashing import gram_hashes, scramble, word_hashes
+from .hashing import distinct, gram_hashes, scramble, text_hashes
 
 SHINGLE = 5
 #: Similarity bound in hundredths.
 PERCENT = 80
-#: Hash buckets whose corpus frequencies order the grams; half a megabyte, whatever the corpus.
-BUCKETS = 1 << 16
+#: Grams are ordered by the corpus frequency of a hash bucket, the last so many bits: a megabyte, whatever the corpus.
+BITS = 16
+BUCKETS = 1 << BITS
 #: Bins of the suffix filter: in how many of a set's grams each value of six hash bits occurs, at most 65535.
 BINS = 64
+#: Earlier meetings that a row knows of, so that a pair is not formed again.
+EARLIER = 32
 #: Grams that a worker gathers before it passes rows on, whatever the length of texts.
 CHUNK = 1 << 20
 
 
+_places = scramble(np.arange(1, 1 << 16, dtype=np.uint64))
+
+
 def shingles(text: str | None, size: int) -> tuple[int, np.ndarray]:
     """Key of the word sequence (0: no words) and the sorted distinct shingle hashes."""
-    h = word_hashes((text or "").encode("utf-8", "replace").lower().split())
+    global _places
+    h = text_hashes((text or "").encode("utf-8", "replace"))
     if not len(h):
-        return 0, np.empty(0, np.uint64)
-    grams = gram_hashes(h, min(size, len(h)))
-    place = scramble(np.arange(1, len(h) + 1, dtype=np.uint64))
-    key = int(scramble(np.array([np.bitwise_xor.reduce(scramble(h ^ place)) ^ np.uint64(len(h))]))[0]) or 1
-    return key, np.unique(grams)
+        return 0, h
+    if len(h) > len(_places):
+        _places = scramble(np.arange(1, 2 * len(h), dtype=np.uint64))
+    place = _places[: len(h)]
+    key = np.bitwise_xor.reduce((h ^ place) * (place | np.uint64(1))) ^ np.uint64(len(h))
+    return int(scramble(np.array([key]))[0]) or 1, distinct(gram_hashes(h, min(size, len(h))))
+
+
+def ranks(frequency: np.ndarray) -> np.ndarray:
+    """Place of each bucket in order of frequency."""
+    order = np.lexsort((np.arange(len(frequency)), frequency))
+    rank = np.empty(len(order), np.uint64)
+    rank[order] = np.arange(len(order), dtype=np.uint64)
+    return rank
+
+
+def rarest(own: np.ndarray, length: int, rank: np.ndarray) -> np.ndarray:
+    """The ``length`` first grams by rank of the bucket, then by hash, as distinct numbers in that order.
+
+    The rank takes the place of the bucket's bits and stands in front of the others.
+    """
+    bits = np.uint64(len(rank).bit_length() - 1)
+    packed = (rank[(own & np.uint64(len(rank) - 1)).astype(np.int64)] << (np.uint64(64) - bits)) | (own >> bits)
+    if length < len(packed):
+        packed = np.partition(packed, length - 1)[:length]
+    return np.sort(packed)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -81,16 +109,16 @@ def _profile(size: int):
 
 
 def _prefixes(size: int, percent: int, order):
-    """Documents -> their prefix grams, once per task for equal word sequences."""
+    """Documents -> their prefix grams, once per task for equal word sequences; ``gram`` sorts rare-first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(columns) -> pa.RecordBatch:
             grams, keys, ns, places = map(np.concatenate, columns)
             return pa.RecordBatch.from_arrays(
-                [pa.array(_signed(grams)), pa.array(_signed(keys)), pa.array(ns), pa.array(places)], names=["gram", "key", "n", "place"]
+                [pa.array(_signed(grams ^ np.uint64(1 << 63))), pa.array(_signed(keys)), pa.array(ns), pa.array(places)], names=["gram", "key", "n", "place"]
             )
 
-        frequency, seen = order.value, set()
+        by_rank, seen = order.value, set()
         for batch in batches:
             columns, held = ([], [], [], []), 0
             for text in batch.column(0):
@@ -100,9 +128,7 @@ def _prefixes(size: int, percent: int, order):
                 seen.add(key)
                 n = len(own)
                 length = n - -(-percent * n // 100) + 1
-                rarity = frequency[(own & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                first = np.lexsort((own, rarity))[:length] if n > 1 else np.zeros(1, np.int64)
-                mine = (own[first], np.full(length, key, np.uint64), np.full(length, n, np.int32), np.arange(length, dtype=np.int32))
+                mine = (rarest(own, length, by_rank), np.full(length, key, np.uint64), np.full(length, n, np.int32), np.arange(length, dtype=np.int32))
                 for column, x in zip(columns, mine):
                     column.append(x)
                 held += length
@@ -215,7 +241,7 @@ def near_duplicates(
         counted = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each bucket
         frequency[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
         texts = profile.where("kind = 0 and key <> 0").groupBy("key").agg(F.min("id").alias("wanted"), F.first("n").alias("n"), F.first("bins").alias("bins"))
-        labels = _labels(tables, docs, tables.write(texts), spark.sparkContext.broadcast(frequency), size, percent)
+        labels = _labels(tables, docs, tables.write(texts), spark.sparkContext.broadcast(ranks(frequency)), size, percent)
 
         per_key = rows.where("key <> 0").groupBy("key").agg(F.min("id").alias("own")).join(labels, "key", "left")
         per_key = per_key.withColumn("label", F.coalesce("label", "key"))
@@ -251,8 +277,8 @@ def _labels(tables: Tables, docs: DataFrame, texts: DataFrame, order, size: int,
     labels = components(tables, links)
 
     # What is left: prefix matches across components. Grams of one passage have the same
-    # holders, which meet once for all of them, by the least place of each: no pair is lost,
-    # and grams whose holders are confused by a hash would only add pairs to verify.
+    # holders, which meet once for all of them, at the rarest: no pair is lost, and
+    # grams whose holders are confused by a hash would only add pairs to verify.
     known = shared.select("gram", "key", "n", "place").join(labels.withColumnRenamed("node", "key"), "key", "left")
     known = known.withColumn("label", F.coalesce("label", "key"))
     known = tables.write(
@@ -262,9 +288,14 @@ def _labels(tables: Tables, docs: DataFrame, texts: DataFrame, order, size: int,
         .withColumn("held", F.count("key").over(by_gram))
         .where("low <> high")
         .groupBy("holders", "held", "key")
-        .agg(F.first("n").alias("n"), F.first("label").alias("label"), F.min("place").alias("place"))
+        .agg(F.first("n").alias("n"), F.first("label").alias("label"), F.min("place").alias("place"), F.min("gram").alias("gram"))
     )
     tables.drop(shared)
+    # The positional filter holds at the first gram that a pair has in common, where it is formed;
+    # what is known of earlier meetings keeps most pairs from being formed at later ones.
+    firsts = known.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("gram")), 1, EARLIER).alias("firsts"))
+    known = known.join(firsts, "key").withColumn("earlier", F.expr("filter(firsts, g -> g < gram)")).drop("firsts")
+    known = tables.write(known)
     x, y = known.alias("x"), known.alias("y")
     c = F.col
     rest = x.join(
@@ -273,7 +304,8 @@ def _labels(tables: Tables, docs: DataFrame, texts: DataFrame, order, size: int,
         & (c("x.held") == c("y.held"))
         & (c("x.label") != c("y.label"))
         & ((c("x.n") < c("y.n")) | ((c("x.n") == c("y.n")) & (c("x.key") < c("y.key"))))
-        & _may_link(c("x.n"), c("x.place"), c("y.n"), c("y.place"), percent),
+        & _may_link(c("x.n"), c("x.place"), c("y.n"), c("y.place"), percent)
+        & ~F.arrays_overlap("x.earlier", "y.earlier"),
     )
     rest = rest.select(F.least("x.key", "y.key").alias("centre"), F.greatest("x.key", "y.key").alias("key")).distinct()
     tried = star.union(star.select(F.col("key").alias("centre"), F.col("centre").alias("key")))
