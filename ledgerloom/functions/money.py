@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 #: A money string, and the months' names.
 MONEY = r"[0-9]{1,3}(?:,[0-9]{3})*\.\d{2}"
@@ -25,7 +25,10 @@ def money(c: Column) -> Column:
 
 def parse_amount(c: Column) -> Column:
     """Signed amount: parentheses or a leading minus are negative; null if there is none."""
-    s = strip(c)
+    return let(strip(c), _signed_amount)
+
+
+def _signed_amount(s: Column) -> Column:
     wrapped = s.startswith("(") & s.endswith(")")
     inner = F.when(wrapped, F.regexp_replace(s, r"(?s)^\((.*)\)$", "$1")).otherwise(s)
     minus = inner.startswith("-")
@@ -46,7 +49,10 @@ def parse_date(c: Column, year: Column) -> Column:
 
     Layouts are prefixes. ``D Mon`` takes ``year`` whatever follows; a day is checked only in numeric layouts.
     """
-    s = strip(c)
+    return let(strip(c), lambda s: _dated(s, year))
+
+
+def _dated(s: Column, year: Column) -> Column:
     dm, long, short = rf"(?i)^(\d{{1,2}})\s+({_MON})", r"^(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})", r"^(\d{1,2})[/\-](\d{1,2})[/\-](\d{2})"
     md, isod = rf"(?i)^({_MON})\s+(\d{{1,2}})", r"^\d{4}-\d{2}-\d{2}"
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, title_case
+from .text import let, strip, title_case
 
 #: Location and noise endings, removed one after the other.
 ENDINGS = [
@@ -66,24 +66,29 @@ def clean_description(c: Column) -> Column:
 
 def derive_payee(c: Column) -> Column:
     """Vendor name before aliases; the first rule that fits decides."""
-    d = clean_description(c)
+    return let(clean_description(c), lambda d: _vendor(d, c))
+
+
+def _vendor(d: Column, raw: Column) -> Column:
+    """The vendor by a cleaned description; ``raw`` is the description as it came."""
     loan = r"^\d{2,3}(?:CARDS|MY PREFERRED|LAZADA)"
-    loan_name = strip(F.regexp_extract(d, r"^\d{2,3}(.+?)(\s*\(.*)?$", 1))
+    named = r"^\d{2,3}(.+?)(\s*\(.*)?$"
+    loan_name = strip(F.regexp_extract(d, named, 1))
     domain = F.regexp_replace(F.regexp_replace(F.regexp_extract(d, r"^WWW\.(\S+)", 1), r"\*+$", ""), r"\.+$", "")
     starred = F.when(d.contains("*"), strip(F.regexp_replace(d, r"(?s)^[^*]*\*", ""))).otherwise(F.lit(""))
-    rest = strip(F.substring(d, 8, 10_000))
+    rest = strip(F.substr(d, F.lit(8)))
     plain = strip(reduce(lambda s, p: F.regexp_replace(s, p, ""), CUTS, d))
     out = (
         F.when(d.rlike(loan) & loan_name.contains("LAZADA"), F.lit("Lazada"))
         .when(d.rlike(loan) & loan_name.contains("CARDS IL"), F.lit("DBS Cards IL"))
         .when(d.rlike(loan) & loan_name.contains("MY PREFERRED"), F.lit("DBS Payment Plan"))
-        .when(d.rlike(loan) & (loan_name != ""), loan_name)
+        .when(d.rlike(loan) & d.rlike(named), loan_name)
     )
     for pattern, name in VENDORS_BEFORE:
         out = out.when(d.rlike(pattern), F.lit(name))
     out = (
-        out.when(d.startswith("TS/"), title_case(strip(F.regexp_replace(F.regexp_replace(F.substring(d, 4, 10_000), r"(?s) - .*$", ""), r"(?s) COMP.*$", ""))))
-        .when(d.startswith("SP "), title_case(strip(F.substring(d, 4, 10_000))))
+        out.when(d.startswith("TS/"), title_case(strip(F.regexp_replace(F.regexp_replace(F.substr(d, F.lit(4)), r"(?s) - .*$", ""), r"(?s) COMP.*$", ""))))
+        .when(d.startswith("SP "), title_case(strip(F.substr(d, F.lit(4)))))
         .when(d.rlike(r"^PAYPAL ?\*"), title_case(F.regexp_replace(F.regexp_replace(d, r"^PAYPAL\s*\*\s*", ""), r"\s+\d{10,}.*$", "")))
         .when(d.startswith("MICROSOFT"), F.lit("Microsoft"))
         .when(d.startswith("WWW.") & F.upper(domain).contains("TADA"), F.lit("TADA"))
@@ -95,28 +100,23 @@ def derive_payee(c: Column) -> Column:
     out = out.when(d.startswith("GOOGLE ") & (rest != ""), F.concat(F.lit("Google "), title_case(rest))).when(d.startswith("GOOGLE "), F.lit("Google"))
     for pattern, name in VENDORS_LAST:
         out = out.when(d.rlike(pattern), F.lit(name))
-    return out.when(plain != "", title_case(plain)).otherwise(title_case(F.substring(d, 1, 20)))
-
-
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: a fold over rows of the usual table, inside the JVM."""
-    chars = lambda s: F.filter(F.split(s, ""), lambda x: x != "")
-    empty = F.array_repeat(F.lit(0), F.length(b) + 1)
-
-    def row(prev: Column, x: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            same = F.substring(b, j, F.lit(1)) == x
-            best = F.when(same, F.element_at(prev, j) + 1).otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(acc, -1)))
-            return F.concat(acc, F.array(best))
+    return out.when(plain != "", title_case(plain)).otherwise(title_case(F.substring(raw, 1, 20)))
 
-        start = F.array(F.lit(0))
-        places = F.when(F.length(b) > 0, F.sequence(F.lit(1), F.length(b))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, start, cell)
 
-    return F.element_at(F.aggregate(chars(a), empty, row), -1)
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the usual table as the bits of a number."""
+    where: dict[str, int] = {}
+    for k, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        hit = row & where.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
+def indel_ratio(a: str, b: str) -> float:
     """200 * common subsequence / (both lengths), 100 for two empty strings."""
-    both = F.length(a) + F.length(b)
-    return F.when(both == 0, F.lit(100.0)).otherwise(200.0 * common_subsequence(a, b) / both)
+    both = len(a) + len(b)
+    return 200.0 * common_subsequence(a, b) / both if both else 100.0

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WS = r"(?U)\s"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` evaluated once, however often ``f`` names it; also keeps generated code small."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Removes Unicode white space from both ends (``trim`` removes blanks only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -68,20 +75,23 @@ def postprocess_markdown(c: Column) -> Column:
 
 
 def heading(level: Column, text: Column) -> Column:
-    return F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), F.least(F.lit(4), level)).cast("int")), F.lit(" "), text)
-
-
-def file_extension(c: Column) -> Column:
-    return F.lower(F.regexp_extract(c, r"[^/.](\.[^./]*)$", 1))
+    return F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), F.least(F.lit(4), level)).cast("int")), F.lit(" "), strip(text))
 
 
-def markdown_name(c: Column) -> Column:
-    """Output name: ``.mhtm``/``.mhtml``/``.pdf`` become ``.md``."""
-    return F.regexp_replace(c, r"(?i)\.(mhtml?|pdf)$", ".md")
+def markdown_name(c: Column, scheme: str) -> Column:
+    """Output name: ``.mhtm`` and ``.mhtml``, or ``.pdf``, become ``.md``; other names of PDF inputs get it appended."""
+    if scheme == "mhtml2md":
+        return F.regexp_replace(c, r"(?i)\.mhtml?$", ".md")
+    return F.when(c.rlike(r"(?i)\.pdf$"), F.regexp_replace(c, r"(?i)\.pdf$", ".md")).otherwise(F.concat(c, F.lit(".md")))
 
 
-def safe_stem(c: Column, length: int = 40) -> Column:
-    s = F.substring(F.regexp_replace(F.regexp_replace(c, r"\.[^.]*$", ""), r"[^A-Za-z0-9_\-]", "_"), 1, length)
+def safe_stem(c: Column, length: int | None = 40) -> Column:
+    """A file's name without its extension as part of another name: single characters replaced and cut to
+    ``length``, or with no length, for PDF names, runs of characters replaced."""
+    if length is None:
+        s = F.regexp_replace(c, r"(?i)\.pdf$", "")
+        return F.regexp_replace(F.when(s == "", F.lit("doc")).otherwise(s), r"[^A-Za-z0-9._-]+", "_")
+    s = F.substring(F.regexp_replace(F.regexp_replace(c, r"(?<=.)\.[^.]*$", ""), r"[^A-Za-z0-9_\-]", "_"), 1, length)
     return F.when(s == "", F.lit("doc")).otherwise(s)
 
 
@@ -90,9 +100,42 @@ def url_core(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), r"/+$", ""))
 
 
+#: What a list item starts with.
+LIST_MARKER = r"^\s*(?:[\u2022\u2023\u25E6\u2043\u2219\u25CF\u25CB\u2013\u2014-]|\d+[.)]\s{0}|[a-zA-Z][.)]\s{0}|[ivxIVX]+[.)]\s{0})\s*"
+
+
 def is_list_item(c: Column) -> Column:
     """Starts with a bullet, a number, a letter or a Roman numeral as list marker."""
-    return c.rlike(r"(?U)^\s*(?:[•●○◦‣⁃∙–—-]|\d+[.)]\s|[a-zA-Z][.)]\s|[ivxIVX]+[.)]\s)\s*")
+    return c.rlike("(?U)" + LIST_MARKER.format(""))
+
+
+def drop_list_marker(c: Column) -> Column:
+    return strip(F.regexp_replace(c, "(?U)" + LIST_MARKER.format("?"), ""))
+
+
+def is_numbering(c: Column) -> Column:
+    """A table cell of at most ten characters that only numbers its row."""
+    return (F.length(c) <= 10) & c.rlike(r"^(\d+\.?\d*\.?|[a-zA-Z][.)]\s*|[ivxIVX]+[.)]\s*)$")
+
+
+def font_size_px(style: Column) -> Column:
+    """Font size of an inline style in pixels, null without one; points count 1.333, em and rem 16."""
+    pattern = r"(?i)font-size\s*:\s*([\d.]+)\s*(px|pt|em|rem)"
+    unit = F.lower(F.regexp_extract(style, pattern, 2))
+    factor = F.when(unit == "pt", 1.333).when(unit.isin("em", "rem"), 16.0).otherwise(1.0)
+    return F.when(style.rlike(pattern), F.regexp_extract(style, pattern, 1).try_cast("double") * factor)
+
+
+def splitlines(c: Column) -> Column:
+    """Lines as Python's ``splitlines`` has them: all line separators, and none after a last one."""
+    parts = F.split(c, "\r\n|[\n\r\u000b\f\u001c-\u001e\u0085\u2028\u2029]")
+    cut = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(cut)
+
+
+def collapse_blank_lines(c: Column) -> Column:
+    """Of consecutive blank lines one stays, empty."""
+    return strip(F.regexp_replace(F.regexp_replace(c, r"(?m)^[^\S\n]+$", ""), r"\n{3,}", "\n\n"))
 
 
 _PAGE_CODE = r"^(?:\d{1,4}[A-Z]{0,2}|[ivxIVX]{1,6})$"
@@ -100,7 +143,10 @@ _PAGE_CODE = r"^(?:\d{1,4}[A-Z]{0,2}|[ivxIVX]{1,6})$"
 
 def is_toc_row(line: Column) -> Column:
     """A table-of-contents row: text, then a page number or Roman numeral at the end."""
-    s = strip(line)
+    return let(strip(line), _is_toc_row)
+
+
+def _is_toc_row(s: Column) -> Column:
     cells = F.filter(F.transform(F.split(F.regexp_replace(s, r"^\|+|\|+$", ""), r"\|"), strip), lambda x: x != "")
     piped = s.startswith("|") & (F.length(s) - F.length(F.replace(s, F.lit("|"))) >= 2)
     rule = F.forall(cells, lambda x: x.rlike(r"^[-: ]*$"))

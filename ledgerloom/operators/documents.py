@@ -28,19 +28,26 @@ def repeated_lines(pages: DataFrame, ratio: float = 0.6, least_pages: int = 5, b
     """Fingerprints (doc, norm, n) of headers and footers.
 
     A line counts once per page and band, so one in both counts twice; documents of fewer
-    than ``least_pages`` pages have none.
+    than ``least_pages`` pages have none, and lines of one character, a masked page number too, do not count.
     """
-    seen = band_lines(pages, band).select("doc", "page", "band", normalise_line(F.col("line")).alias("norm")).where("norm <> ''").distinct()
+    seen = band_lines(pages, band).select("doc", "page", "band", normalise_line(F.col("line")).alias("norm")).where("length(norm) >= 2").distinct()
     n_pages = pages.groupBy("doc").agg(F.count_distinct("page").alias("n_pages")).where(F.col("n_pages") >= least_pages)
     counted = seen.groupBy("doc", "norm").agg(F.count("*").alias("n"))
     least = F.greatest(F.lit(2), F.floor(F.col("n_pages") * ratio))
     return counted.join(n_pages, "doc").where(F.col("n") >= least).select("doc", "norm", "n")
 
 
+#: Fingerprints up to so many, counted first, are sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
 def strip_repeated(lines: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """Lines (doc, ..., line) without headers, footers and bare page numbers."""
     rows = lines.where(~is_bare_number(F.col("line"))).withColumn("norm", normalise_line(F.col("line")))
-    return rows.join(fingerprints.select("doc", "norm"), ["doc", "norm"], "left_anti").drop("norm")
+    prints = fingerprints.select("doc", "norm")
+    if prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        prints = F.broadcast(prints)
+    return rows.join(prints, ["doc", "norm"], "left_anti").drop("norm")
 
 
 def toc_sections(lines: DataFrame) -> DataFrame:
@@ -63,21 +70,6 @@ def toc_sections(lines: DataFrame) -> DataFrame:
     return out.withColumn("is_toc", F.coalesce(F.col("title").isin("contents", "table of contents"), F.lit(False)) | shaped)
 
 
-def inline_toc_runs(lines: DataFrame, least: int = 5) -> DataFrame:
-    """Runs of consecutive entries: doc, ``first``, ``last``, ``n``; blank lines do not end a run."""
-    full = lines.where(strip(F.col("line")) != "").withColumn("toc", is_toc_row(F.col("line")))
-    w = W.partitionBy("doc").orderBy("line_ord")
-    run = F.sum(F.when(F.col("toc"), 0).otherwise(1)).over(w)
-    return (
-        full.withColumn("run", run)
-        .where("toc")
-        .groupBy("doc", "run")
-        .agg(F.min("line_ord").alias("first"), F.max("line_ord").alias("last"), F.count("*").alias("n"))
-        .where(F.col("n") >= least)
-        .drop("run")
-    )
-
-
 def merge_texts(df: DataFrame, keys: list[str], name: str, text: str, separator: str = "\n\n---\n\n") -> DataFrame:
     """Texts of a group under ``=== name ===`` titles, in order of name."""
     part = F.struct(F.col(name).alias("n"), F.concat(F.lit("=== "), F.col(name), F.lit(" ===\n\n"), F.col(text)).alias("t"))
@@ -105,11 +97,3 @@ def page_confidence(pages: DataFrame, tables: DataFrame, figures: DataFrame) ->
     f = figures.groupBy("doc", "page").agg(F.count("*").alias("figure_count"))
     out = pages.join(t, ["doc", "page"], "left").join(f, ["doc", "page"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("table_count", "figure_count")})
-
-
-def rewrite_footnotes(text: Column, markers: list[str]) -> Column:
-    """``word1`` becomes ``word[^1]`` for known markers after letters or closing punctuation; longest markers first."""
-    import re
-
-    chosen = "|".join(re.escape(m) for m in sorted(markers, key=len, reverse=True))
-    return F.regexp_replace(text, rf"(?<=[a-z)\].,])({chosen})(?![0-9A-Za-z])", "[^$1]") if markers else text

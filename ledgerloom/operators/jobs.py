@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .series import upper_median
+from .series import nth_value
 
 #: Seconds per page without and with OCR, seconds per job, days looked back and kept.
 PER_PAGE, PER_OCR_PAGE, BASE = 12.0, 45.0, 4.0
@@ -18,10 +18,14 @@ MAX_BYTES, MAX_PAGES = 2 * 1024 * 1024, 5
 def queue_position(jobs: DataFrame) -> DataFrame:
     """Running jobs are at 0, queued ones at 1 + the number queued strictly before; others have none.
 
-    Only queued rows meet in the ranking, counted per creation time first.
+    Only queued rows meet in the ranking, counted per creation time first; sums run within
+    a day, and over the days, of which there are few.
     """
-    queued = jobs.where("status = 'queued'").groupBy("created_at").agg(F.count("*").alias("n"))
-    ahead = queued.select("created_at", (F.sum("n").over(W.orderBy("created_at")) - F.col("n") + 1).alias("place"))
+    queued = jobs.where("status = 'queued'").groupBy("created_at").agg(F.count("*").alias("n")).withColumn("day", F.to_date("created_at"))
+    days = queued.groupBy("day").agg(F.sum("n").alias("n"))
+    days = days.select("day", (F.sum("n").over(W.orderBy("day")) - F.col("n")).alias("before"))
+    within = F.sum("n").over(W.partitionBy("day").orderBy("created_at")) - F.col("n")
+    ahead = queued.withColumn("within", within).join(F.broadcast(days), "day").select("created_at", (F.col("before") + F.col("within") + 1).alias("place"))
     out = jobs.join(ahead, "created_at", "left")
     place = F.when(F.col("status") == "running", 0).when(F.col("status") == "queued", F.col("place"))
     return out.select(*jobs.columns, place.cast("long").alias("position"))
@@ -40,7 +44,7 @@ def calibrated(history: DataFrame, now: Column) -> DataFrame:
     """Seconds per page by OCR flag: upper median of recent rates, from three samples on."""
     rate = F.col("actual_sec") / F.greatest(F.lit(1), F.col("page_count"))
     recent_rows = history.where(F.col("finished_at") >= now - F.expr(f"interval {LOOKBACK_DAYS} days"))
-    out = recent_rows.groupBy("ocr_expected").agg(F.count("*").alias("n"), upper_median(rate).alias("rate"))
+    out = nth_value(recent_rows.select("ocr_expected", rate.alias("rate")), ["ocr_expected"], "rate")
     return out.where(F.col("n") >= LEAST_SAMPLES)
 
 
@@ -50,7 +54,7 @@ def estimates(jobs: DataFrame, history: DataFrame, now: Column) -> DataFrame:
     default = F.when(F.col("ocr_expected"), PER_OCR_PAGE).otherwise(PER_PAGE)
     out = jobs.join(F.broadcast(rates), "ocr_expected", "left")  # two rows at most
     pages = F.coalesce("page_count", F.lit(0))
-    return out.select(*jobs.columns, F.when(pages == 0, F.lit(BASE)).otherwise(BASE + pages * F.coalesce("rate", default)).alias("estimate_sec"))
+    return out.select(*jobs.columns, F.when(pages <= 0, F.lit(BASE)).otherwise(BASE + pages * F.coalesce("rate", default)).alias("estimate_sec"))
 
 
 def expired(jobs: DataFrame, now: Column) -> Column:

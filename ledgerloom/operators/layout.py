@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -31,20 +33,36 @@ def bucket_lines(words: DataFrame, height: float = 3.0) -> DataFrame:
 
 
 def edge_bucket(x: Column, edges: Column, slack: float = 2.0) -> Column:
-    """Place of the last edge at most ``slack`` right of ``x``; 0 before the first."""
-    return F.greatest(F.size(F.filter(edges, lambda e: e <= x + slack)) - 1, F.lit(0))
-
-
-def split_cells(words: DataFrame, gap_factor: float = 4.0) -> DataFrame:
-    """Words of a row joined into cells where a gap exceeds ``gap_factor`` times the row's median gap."""
-    by, w = W.partitionBy("doc", "line"), W.partitionBy("doc", "line").orderBy("x0", "word_ord")
-    rows = words.withColumn("gap", F.col("x0") - F.lag("x1").over(w))
-    typical = rows.where("gap > 0").groupBy("doc", "line").agg(upper_median(F.col("gap")).alias("typical"))
-    rows = rows.join(typical, ["doc", "line"], "left")
-    new = F.col("gap").isNull() | (F.col("gap") > gap_factor * F.col("typical"))
-    rows = rows.withColumn("cell", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(w))
+    """Number of the column between two ``edges`` that ``x`` lies in, an edge counting ``slack`` further left.
+
+    Null left of the first edge and right of the last, which closes the last column.
+    """
+    at = F.size(F.filter(edges, lambda e: e <= x + slack)) - 1
+    return F.when((at >= 0) & (at < F.size(edges) - 1), at)
+
+
+def cell_gap(words: DataFrame) -> DataFrame:
+    """(doc, page, ``least``): beyond it a gap between words of a row separates cells.
+
+    One figure for a page: four times its upper median of the gaps that are positive and below twice the mean height
+    of words (half that height without any), and that height at least.
+    """
+    w = W.partitionBy("doc", "page", "line").orderBy("x0", "word_ord")
+    height = words.groupBy("doc", "page").agg(F.avg(F.col("y1") - F.col("y0")).alias("height"))
+    gaps = words.withColumn("gap", F.col("x0") - F.lag("x1").over(w)).where("gap > 0").join(height, ["doc", "page"])
+    typical = gaps.where(F.col("gap") < 2 * F.col("height")).groupBy("doc", "page").agg(upper_median(F.col("gap")).alias("typical"))
+    out = height.join(typical, ["doc", "page"], "left")
+    typical = F.coalesce("typical", 0.5 * F.col("height"))
+    return out.select("doc", "page", F.greatest(4.0 * typical, F.col("height")).alias("least"))
+
+
+def split_cells(words: DataFrame) -> DataFrame:
+    """Words (doc, page, line, word_ord, x0, y0, x1, y1, text) of rows joined into cells: doc, page, line, ``cell`` from 0, ``text``."""
+    w = W.partitionBy("doc", "page", "line").orderBy("x0", "word_ord")
+    rows = words.join(cell_gap(words), ["doc", "page"]).withColumn("gap", F.col("x0") - F.lag("x1").over(w))
+    rows = rows.withColumn("cell", F.sum(F.coalesce(F.col("gap") > F.col("least"), F.lit(False)).cast("int")).over(w))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_ord", "text"))), lambda s: s["text"]), " ")
-    return rows.groupBy("doc", "line", "cell").agg(text.alias("text"))
+    return rows.groupBy("doc", "page", "line", "cell").agg(text.alias("text"))
 
 
 def row_runs(rows: DataFrame) -> DataFrame:
@@ -56,49 +74,64 @@ def row_runs(rows: DataFrame) -> DataFrame:
     return out.withColumn("kind", F.when(F.col("n") >= 2, "table").otherwise("header")).drop("run")
 
 
-def merge_paragraphs(lines: DataFrame, factor: float = 1.8, least: float = 12.0) -> DataFrame:
+def merge_paragraphs(lines: DataFrame, factor: float = 1.8, least: float = 12.0, keys: tuple[str, ...] = ("doc", "col")) -> DataFrame:
     """Lines of a column joined while the step down is at most ``max(factor * line_gap, least)``; headings stand alone."""
-    w = W.partitionBy("doc", "col").orderBy("top", "line_ord")
+    w = W.partitionBy(*keys).orderBy("top", "line_ord")
     step = F.col("top") - F.lag("top").over(w)
     close = step <= F.greatest(factor * F.col("line_gap"), F.lit(least))
     new = ~F.coalesce(close, F.lit(False)) | F.col("is_heading") | F.coalesce(F.lag("is_heading").over(w), F.lit(False))
     rows = lines.withColumn("para", F.sum(new.cast("int")).over(w))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "line_ord", "text"))), lambda s: s["text"]), " ")
-    return rows.groupBy("doc", "col", "para").agg(text.alias("text"), F.count("*").alias("n_lines"), F.max("top").alias("last_y"))
+    return rows.groupBy(*keys, "para").agg(text.alias("text"), F.count("*").alias("n_lines"), F.max("top").alias("last_y"))
 
 
 def detect_columns(words: DataFrame, least_words: int = 40, least: float = 0.55) -> DataFrame:
-    """One or two columns per page by the largest relative gap of left edges in the middle of the page.
+    """One or two columns per page by the largest relative gap of word centres in the middle of the page.
 
-    ``words`` has doc, page, x0, width. Result: doc, page, ``layout``, ``confidence``, ``split_x``.
+    ``words`` has doc, page, cx, width. Result: doc, page, ``layout``, ``confidence``, ``split_x``. A gap's score is
+    r / (r + 8), r its ratio to the upper median of all gaps, zeros included (1 if that is 0). Pages of
+    fewer than ``least_words`` words are single with confidence 1; other single pages have 1 less the best score.
     """
-    w = W.partitionBy("doc", "page").orderBy("x0")
-    rows = words.withColumn("prev", F.lag("x0").over(w)).withColumn("gap", F.col("x0") - F.col("prev"))
-    typical = rows.where("gap > 0").groupBy("doc", "page").agg(upper_median(F.col("gap")).alias("typical"))
-    n = words.groupBy("doc", "page").agg(F.count("*").alias("n_words"))
-    middle = (F.col("x0") + F.col("prev")) / 2
-    inner = rows.where(middle.between(0.2 * F.col("width"), 0.8 * F.col("width"))).join(typical, ["doc", "page"])
-    r = F.col("gap") / F.col("typical")
-    best = inner.withColumn("score", r / (r + 8)).groupBy("doc", "page").agg(
-        F.max("score").alias("score"), F.max_by((F.col("x0") + F.col("prev")) / 2, F.struct("score", -F.col("x0"))).alias("at")
-    )
-    out = n.join(best, ["doc", "page"], "left")
-    two = F.coalesce((F.col("n_words") >= least_words) & (F.col("score") >= least), F.lit(False))
-    return out.select("doc", "page", F.when(two, "two").otherwise("single").alias("layout"), F.bround(F.coalesce("score", F.lit(0.0)), 3).alias("confidence"), F.when(two, F.col("at")).alias("split_x"))
+    w = W.partitionBy("doc", "page").orderBy("cx")
+    rows = words.withColumn("prev", F.lag("cx").over(w)).withColumn("gap", F.col("cx") - F.col("prev"))
+    pages = rows.groupBy("doc", "page").agg(F.count("*").alias("n_words"), upper_median(F.col("gap")).alias("typical"))
+    middle = (F.col("cx") + F.col("prev")) / 2
+    inner = rows.where(middle.between(0.2 * F.col("width"), 0.8 * F.col("width")) & (F.col("gap") > 0))
+    best = inner.groupBy("doc", "page").agg(F.max("gap").alias("gap"), F.max_by(middle, F.struct("gap", -F.col("cx"))).alias("at"))
+    out = pages.join(best, ["doc", "page"], "left")
+    r = F.col("gap") / F.when(F.col("typical") == 0, 1.0).otherwise(F.col("typical"))
+    out = out.withColumn("score", F.coalesce(r / (r + 8), F.lit(0.0)))
+    enough = F.col("n_words") >= least_words
+    two = enough & (F.col("score") >= least)
+    confidence = F.when(two, F.col("score")).when(enough, 1 - F.col("score")).otherwise(1.0)
+    return out.select("doc", "page", F.when(two, "two").otherwise("single").alias("layout"), F.bround(confidence, 3).alias("confidence"), F.when(two, F.col("at")).alias("split_x"))
 
 
 def nearest_char(words: DataFrame, chars: DataFrame, reach: int = 5) -> DataFrame:
-    """Font size of the nearest character of each word on a grid of tenths; rows by vertical, then horizontal distance."""
+    """Font size and name of a character of each word's page that stands where the word begins: doc, page, word_ord, ``size``, ``fontname``.
+
+    Places are tenths of a point. A character may stand up to ``reach`` above or below and from ``reach`` left
+    to 19 right; the highest counts, then the leftmost, and of characters at one place the last.
+    """
     grid = lambda x: F.bround(F.col(x) * 10).cast("long")
-    c = chars.select(F.col("doc").alias("_d"), grid("top").alias("cy"), grid("x0").alias("cx"), "size", "char_ord")
+    c = chars.select(F.col("doc").alias("_d"), F.col("page").alias("_p"), grid("top").alias("cy"), grid("x0").alias("cx"), "size", "fontname", "char_ord")
     # Cells as wide as the reach: a match lies in the word's own row of cells or a neighbouring one.
     cell = 2 * reach
     c = c.withColumn("_cell", F.floor(F.col("cy") / cell))
     w = words.withColumn("wy", grid("top")).withColumn("wx", grid("x0"))
     w = w.withColumn("_at", F.explode(F.array(*[F.floor(F.col("wy") / cell) + k for k in (-1, 0, 1)])))
-    near = (F.col("doc") == F.col("_d")) & (F.col("_at") == F.col("_cell")) & (F.abs(F.col("cy") - F.col("wy")) <= reach) & (F.col("cx") - F.col("wx")).between(-reach, 19)
-    hit = w.join(c, near)
-    return hit.groupBy("doc", "page", "word_ord").agg(F.min_by("size", F.struct(F.col("cy") - F.col("wy"), F.col("cx") - F.col("wx"), -F.col("char_ord"))).alias("size"))
+    same_page = (F.col("doc") == F.col("_d")) & (F.col("page") == F.col("_p")) & (F.col("_at") == F.col("_cell"))
+    near = same_page & (F.abs(F.col("cy") - F.col("wy")) <= reach) & (F.col("cx") - F.col("wx")).between(-reach, 19)
+    order = F.struct(F.col("cy") - F.col("wy"), F.col("cx") - F.col("wx"), -F.col("char_ord"))
+    hit = w.join(c, near).groupBy("doc", "page", "word_ord").agg(F.min_by(F.struct("size", "fontname"), order).alias("hit"))
+    return hit.select("doc", "page", "word_ord", "hit.*")
+
+
+def shrink(pixels: Column, n: int) -> Column:
+    """Pixels as ``n`` means of equal stretches."""
+    size = F.floor(F.size(pixels) / n).cast("int")
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: mean(F.slice(pixels, k * size + 1, size)))
 
 
 def average_hash(pixels: Column) -> Column:
@@ -109,3 +142,26 @@ def average_hash(pixels: Column) -> Column:
 
 def repeated_hashes(figures: DataFrame, least_pages: int = 3) -> DataFrame:
     return figures.groupBy("hash").agg(F.count_distinct("page").alias("n_pages")).where(F.col("n_pages") >= least_pages)
+
+
+def packed_hash(bits: Column) -> Column:
+    """A string of 0 and 1 as bytes, the first bit the lowest of the first byte."""
+    octets = F.transform(F.sequence(F.lit(0), F.floor((F.length(bits) + 7) / 8).cast("int") - 1), lambda k: F.reverse(F.rpad(F.substr(bits, k * 8 + 1, F.lit(8)), 8, "0")))
+    return F.when(F.length(bits) > 0, F.unhex(F.array_join(F.transform(octets, lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")), ""))).otherwise(F.lit(b""))
+
+
+def box(bbox: Column) -> Column:
+    """(x0, y0, x1, y1) of a map with numbers under one of three sets of names, null without; as an array."""
+    layouts = [("x0", "y0", "x1", "y1"), ("x1", "y1", "x2", "y2"), ("left", "top", "right", "bottom")]
+    known = lambda names: reduce(lambda a, b: a & b, [F.map_contains_key(bbox, k) for k in names])
+    values = lambda names: F.array(*[F.element_at(bbox, k).try_cast("double") for k in names])
+    out = F.lit(None).cast("array<double>")
+    for names in reversed(layouts):
+        out = F.when(known(names), F.when(F.forall(values(names), lambda x: x.isNotNull()), values(names))).otherwise(out)
+    return out
+
+
+def finite(c: Column) -> Column:
+    """A number, null for what is none and for NaN."""
+    x = c.try_cast("double")
+    return F.when(~F.isnan(x), x)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.money import find_column, is_financial, parse_amount, parse_date
-from ..functions.payee import common_subsequence, derive_payee
+from ..functions.text import strip
+from ..functions.payee import derive_payee, indel_ratio
+from ..shipping import ship
 
 KEY = ["date", "payee", "memo", "cents", "credit"]
 ORDER = ["date", "payee", "memo", "amount", "credit", "file_ord", "row_ord"]
@@ -37,8 +42,11 @@ def file_stats(txns: DataFrame) -> DataFrame:
 
 
 def with_canonical(txns: DataFrame, aliases: DataFrame, description: str = "payee") -> DataFrame:
-    """Adds ``vendor``: the derived payee, or what an alias of its lower-cased form names."""
-    a = aliases.select(F.col("alias").alias("_alias"), F.col("payee").alias("_canonical"))
+    """Adds ``vendor``: the derived payee, or what an alias of its lower-cased form names.
+
+    Aliases are a lookup table, one row of each counts; a null description has a null vendor.
+    """
+    a = aliases.groupBy(F.col("alias").alias("_alias")).agg(F.min("payee").alias("_canonical"))
     out = txns.withColumn("vendor", derive_payee(F.col(description)))
     out = out.join(a, F.lower("vendor") == F.col("_alias"), "left")
     return out.withColumn("vendor", F.coalesce("_canonical", "vendor")).drop("_alias", "_canonical")
@@ -47,28 +55,43 @@ def with_canonical(txns: DataFrame, aliases: DataFrame, description: str = "paye
 def categories(payees: DataFrame, dim: DataFrame, least: int = FUZZY) -> DataFrame:
     """(vendor, category, how) of each distinct vendor: exact, then any case, then fuzzy, else ``Other``.
 
-    Of several matches in another case, and of equal fuzzy scores, the first in dictionary order
-    counts. Fuzzy candidates meet on equal lengths within the bound that the score implies,
-    so no pair that cannot reach it is formed.
+    Of several matches, in one case or another, and of equal fuzzy scores, the first in dictionary
+    order counts. Only vendors without a match are compared, with names of lengths within the bound
+    that the score implies, so no pair that cannot reach it is formed. A null vendor is ``Other``.
     """
-    names = payees.select("vendor").where("vendor is not null").distinct()
-    exact = names.join(dim.select(F.col("payee").alias("vendor"), "category"), "vendor")
-    left = names.join(exact, "vendor", "left_anti")
-    folded = dim.groupBy(F.lower("payee").alias("low")).agg(F.min_by("category", "dict_ord").alias("category"))
-    any_case = left.join(folded, F.lower("vendor") == F.col("low")).select("vendor", "category")
-    left = left.join(any_case, "vendor", "left_anti").withColumn("low", F.lower("vendor"))
+    ship(payees.sparkSession)
+    names = payees.select("vendor").distinct()
+    first = lambda key: dim.groupBy(key).agg(F.min_by("category", "dict_ord").alias("category"))
+    exact = first(F.col("payee").alias("_payee")).withColumnRenamed("category", "_exact")
+    folded = first(F.lower("payee").alias("_low")).withColumnRenamed("category", "_folded")
+    found = names.join(exact, F.col("vendor") == F.col("_payee"), "left").join(folded, F.lower("vendor") == F.col("_low"), "left")
+    left = found.where("_exact is null and _folded is null and vendor is not null").select("vendor", F.lower("vendor").alias("low"))
     # 200 * lcs >= least * (m + n) and lcs <= min(m, n): the longer is at most (200 - least) / least times the shorter.
     n = F.length("low")
     low, high = F.ceil(n * least / (200 - least)), F.floor(n * (200 - least) / least)
     reach = left.select("vendor", "low", F.explode(F.sequence(low, high)).alias("len"))
     other = dim.select(F.lower("payee").alias("name"), "category", "dict_ord", F.length("payee").cast("long").alias("len"))
-    pairs = reach.join(other, "len").withColumn("lcs", common_subsequence(F.col("low"), F.col("name")))
-    pairs = pairs.withColumn("score", 200 * F.col("lcs") / (F.length("low") + F.length("name")))
-    pairs = pairs.where(200 * F.col("lcs") >= least * (F.length("low") + F.length("name")))
-    fuzzy = pairs.groupBy("vendor").agg(F.max_by("category", F.struct("score", -F.col("dict_ord"))).alias("category"))
-    rest = left.select("vendor").join(fuzzy, "vendor", "left_anti").select("vendor", F.lit("Other").alias("category"))
-    tag = lambda df, how: df.select("vendor", "category", F.lit(how).alias("how"))
-    return tag(exact, "exact").union(tag(any_case, "case")).union(tag(fuzzy, "fuzzy")).union(tag(rest, "other"))
+    pairs = reach.join(other, "len").select("vendor", "low", "name", "category", "dict_ord")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = [indel_ratio(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(score, pa.float64())], names=["vendor", "category", "dict_ord", "score"])
+            yield rows.filter(pa.array([x >= least for x in score], pa.bool_()))
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    pairs = pairs.mapInArrow(scored, f"vendor string, category {kinds['category']}, dict_ord {kinds['dict_ord']}, score double")
+    fuzzy = pairs.groupBy(F.col("vendor").alias("_vendor")).agg(F.max_by("category", F.struct("score", -F.col("dict_ord"))).alias("_fuzzy"))
+    found = found.join(fuzzy, F.col("vendor") == F.col("_vendor"), "left")
+    how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_folded").isNotNull(), "case").when(F.col("_fuzzy").isNotNull(), "fuzzy").otherwise("other")
+    return found.select("vendor", F.coalesce("_exact", "_folded", "_fuzzy", F.lit("Other")).alias("category"), how.alias("how"))
+
+
+def categorised(txns: DataFrame, aliases: DataFrame, dim: DataFrame) -> DataFrame:
+    """``txns`` with ``vendor`` and ``category``; rows without a description stay."""
+    named = with_canonical(txns, aliases)
+    found = categories(named, dim).select(F.col("vendor").alias("_vendor"), "category")
+    return named.join(found, F.col("vendor").eqNullSafe(F.col("_vendor"))).drop("_vendor")
 
 
 def csv_columns(txns: DataFrame, single_amount: bool = True, source_file: bool = False) -> DataFrame:
@@ -104,9 +127,16 @@ def parse_tables(tables: DataFrame, year: Column) -> DataFrame:
     keep = [c for c in tables.columns if c not in ("headers", "rows")]
     found = tables.where(is_financial(F.col("headers")))
     roles = {r: find_column(F.col("headers"), r) for r in ("date", "desc", "withdrawal", "deposit", "amount")}
-    rows = found.select(*keep, *[c.alias(f"at_{r}") for r, c in roles.items()], F.posexplode("rows").alias("row_ord", "cells"))
-    cell = lambda r: F.coalesce(F.get("cells", F.col(f"at_{r}")), F.lit(""))
-    w, d, a = (parse_amount(cell(r)) for r in ("withdrawal", "deposit", "amount"))
+    places = [c.alias(f"at_{r}") for r, c in roles.items()]
+    rows = found.select(*keep, F.inline(F.array(F.struct(*places))), F.col("rows").alias("_rows"))
+    rows = rows.select(*keep, *[f"at_{r}" for r in roles], F.posexplode("_rows").alias("row_ord", "_cells"))
+    # The cells of a row are cut out once, by a generator, which the optimiser does not merge with their uses.
+    cells = F.struct(*[F.coalesce(F.get("_cells", F.col(f"at_{r}")), F.lit("")).alias(f"cell_{r}") for r in roles])
+    rows = rows.select(*keep, *[f"at_{r}" for r in roles], "row_ord", F.inline(F.array(cells)))
+    amounts = F.struct(*[parse_amount(F.col(f"cell_{r}")).alias(f"v_{r}") for r in ("withdrawal", "deposit", "amount")])
+    rows = rows.select("*", F.inline(F.array(amounts)))
+    w, d, a = (F.col(f"v_{r}") for r in ("withdrawal", "deposit", "amount"))
+    cell = lambda r: F.col(f"cell_{r}")
     has = lambda r: F.col(f"at_{r}").isNotNull()
     out = (
         F.when(has("withdrawal") & has("deposit"), w)
@@ -118,7 +148,7 @@ def parse_tables(tables: DataFrame, year: Column) -> DataFrame:
         .when(has("amount"), F.when(a >= 0, a))
         .when(~has("withdrawal") & has("deposit"), d)
     )
-    rows = rows.select(*keep, "row_ord", parse_date(cell("date"), year).alias("date"), F.trim(cell("desc")).alias("payee"), F.lit("").alias("memo"), out.alias("w"), into.alias("d"))
+    rows = rows.select(*keep, "row_ord", parse_date(cell("date"), year).alias("date"), strip(cell("desc")).alias("payee"), F.lit("").alias("memo"), out.alias("w"), into.alias("d"))
     rows = rows.where(F.col("date").isNotNull() & (F.col("w").isNotNull() | F.col("d").isNotNull()))
     credit = F.coalesce(F.col("d") > 0, F.lit(False))
     amount = F.abs(F.when(credit, F.col("d")).otherwise(F.coalesce("w", F.lit(0.0))))

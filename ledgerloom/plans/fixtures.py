@@ -151,13 +151,13 @@ words as (
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     x, y = F.col("p_size") * 8.0, F.pmod("p_partkey", F.lit(90)) * 1.0
-    return p.where("p_partkey % 3 = 0").select(F.pmod("p_partkey", F.lit(97)).cast("string").alias("doc"), F.lit(1).alias("page"), x.alias("bx0"), y.alias("by0"), (x + 60).alias("bx1"), (y + 20).alias("by1"))
+    return p.select(F.pmod("p_partkey", F.lit(97)).cast("string").alias("doc"), F.lit(1).alias("page"), x.alias("bx0"), y.alias("by0"), (x + 60).alias("bx1"), (y + 20).alias("by1"))
 
 
 BOXES = """
 boxes as (
   select (p_partkey % 97)::varchar as doc, 1 as page, p_size * 8.0 as bx0, (p_partkey % 90) * 1.0 as by0, p_size * 8.0 + 60 as bx1, (p_partkey % 90) * 1.0 + 20 as by1
-  from part where p_partkey % 3 = 0
+  from part
 )"""
 
 
@@ -183,3 +183,79 @@ def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's name and brand as the paragraphs of a DOCX file: filename, content."""
     ship(spark)
     return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").mapInArrow(_docx, "filename string, content binary")
+
+
+def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as recognised rows of one to three cells, two words each, forty rows a page."""
+    o = table(spark, sf_dir, "orders")
+    k, y = F.col("o_orderkey"), F.pmod("o_orderkey", F.lit(40)) * 20.0
+    n = 1 + F.pmod("o_custkey", F.lit(3))
+    place = F.explode(F.sequence(F.lit(0), (2 * n - 1).cast("int"))).alias("w")
+    rows = o.select(F.floor(k / 40).cast("string").alias("doc"), k.alias("k"), "o_custkey", y.alias("y0"), place)
+    cell, second = F.floor(F.col("w") / 2), F.pmod("w", F.lit(2))
+    x = cell * 200.0 + second * 35.0
+    text = F.when(second == 0, F.concat(F.lit("c"), F.col("k").cast("string"))).otherwise(F.concat(F.lit("v"), F.col("o_custkey").cast("string")))
+    return rows.select("doc", F.lit(1).alias("page"), (F.col("k") * 10 + F.col("w")).alias("word_ord"), text.alias("text"), x.alias("x0"), "y0", (x + 30).alias("x1"), (F.col("y0") + 10).alias("y1"))
+
+
+DEPOSIT_WIDTH = 600.0
+_DEPOSIT_HEADER = [("DATE", 20.0), ("DETAILS", 80.0), ("OF", 130.0), ("TRANSACTIONS", 150.0), ("WITHDRAWAL($)", 300.0), ("DEPOSIT($)", 380.0), ("BALANCE($)", 460.0)]
+
+
+def deposit_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the words of deposit statements, thirty rows a page under a header."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    doc, top = F.floor(k / 30).cast("string"), 30.0 + F.pmod(k, F.lit(30)) * 12
+    money = F.format_number("o_totalprice", 2)
+    word = lambda text, x: F.struct(text.alias("text"), x.alias("x0"))
+    words = F.array(
+        word(F.date_format("o_orderdate", "dd"), F.lit(20.0)),
+        word(F.upper(F.date_format("o_orderdate", "MMM")), F.lit(32.0)),
+        word(F.col("o_orderpriority"), F.lit(80.0)),
+        word(F.lit("REF"), F.lit(160.0)),
+        word(F.when(F.pmod(k, F.lit(7)) == 0, F.lit("-")).otherwise(money), F.when(F.col("o_orderstatus") == "F", 378.5).otherwise(300.0)),
+        word(F.lit("1.00"), F.lit(460.0)),
+        word(F.lit("margin"), F.lit(5.0)),
+    )
+    rows = o.select(doc.alias("doc"), k.alias("k"), top.alias("top"), F.posexplode(words).alias("w", "s")).select("doc", (F.col("k") * 10 + F.col("w") + 100).alias("word_ord"), "s.text", "s.x0", "top")
+    header = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(x).alias("x0"), F.lit(j).alias("word_ord")) for j, (t, x) in enumerate(_DEPOSIT_HEADER)])
+    heads = o.select(doc.alias("doc")).distinct().select("doc", F.inline(header)).select("doc", F.col("word_ord").cast("long").alias("word_ord"), "text", "x0", F.lit(10.0).alias("top"))
+    return rows.unionByName(heads).withColumn("page", F.lit(1))
+
+
+def card_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the lines of card statements, twenty entries each, in four forms."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    day = F.concat(F.date_format("o_orderdate", "dd "), F.upper(F.date_format("o_orderdate", "MMM")))
+    m, form = F.format_number("o_totalprice", 2), F.pmod(k, F.lit(4))
+    line = lambda *parts: F.concat(*[p if isinstance(p, type(k)) else F.lit(p) for p in parts])
+    lines = (
+        F.when(form == 0, F.array(line(day, " SOME   CAFE ", m)))
+        .when(form == 1, F.array(line(day, " REFUND ", m, " CR")))
+        .when(form == 2, F.array(line(day, " SPLIT NAME"), F.lit("CONTINUED"), line("U. S. DOLLAR ", m), F.lit("13.45"), F.lit("2.00")))
+        .otherwise(F.array(line(day, " SHOP"), F.lit("Hotline: 123"), F.lit(""), line(m, " cr")))
+    )
+    doc = F.floor(k / 20).cast("string")
+    rows = o.select(doc.alias("doc"), (k * 10 + 100).alias("base"), F.posexplode(lines).alias("j", "line")).select("doc", (F.col("base") + F.col("j")).alias("line_ord"), "line")
+    frame = F.array(F.struct(F.lit(0).cast("long").alias("line_ord"), F.lit("01 JAN BEFORE 9.99").alias("line")), F.struct(F.lit(1).cast("long").alias("line_ord"), F.lit("NEW TRANSACTIONS A. BODY").alias("line")))
+    tail = F.array(F.struct(F.lit(10**15).alias("line_ord"), F.lit("SUB-TOTAL: 5.00").alias("line")), F.struct(F.lit(10**15 + 1).alias("line_ord"), F.lit("02 JAN AFTER 8.88").alias("line")))
+    docs = o.select(doc.alias("doc")).distinct()
+    return rows.union(docs.select("doc", F.inline(frame))).union(docs.select("doc", F.inline(tail)))
+
+
+def footnote_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names in body size, each with its size as a superscript marker, fifty a page; a page's last tenth defines the markers."""
+    p = table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    doc, page = F.floor(k / 100).cast("string"), (1 + F.floor(F.pmod(k, F.lit(100)) / 50)).cast("long")
+    line = F.pmod(k, F.lit(50))
+    chars = lambda s: F.filter(F.split(s, ""), lambda x: x != "")
+    body = F.concat(F.transform(chars(F.col("p_name")), lambda c: F.struct(c.alias("text"), F.lit(10.0).alias("size"))), F.transform(chars(size), lambda c: F.struct(c.alias("text"), F.lit(6.0).alias("size"))), F.array(F.struct(F.lit(" ").alias("text"), F.lit(10.0).alias("size"))))
+    rows = p.select(doc.alias("doc"), page.alias("page"), line.alias("line"), F.posexplode(body).alias("j", "c"))
+    rows = rows.select("doc", "page", (F.col("line") * 1000 + F.col("j")).alias("char_ord"), "c.text", "c.size", (F.col("line") * 12.0).alias("top"), (F.col("j") * 5.0).alias("x0"))
+    note = F.concat(F.transform(chars(size), lambda c: F.struct(c.alias("text"), F.lit(6.0).alias("size"))), F.transform(chars(F.concat(F.lit(" note "), F.col("p_brand"))), lambda c: F.struct(c.alias("text"), F.lit(8.0).alias("size"))))
+    feet = p.where("p_partkey % 10 = 3").select(doc.alias("doc"), page.alias("page"), line.alias("line"), F.posexplode(note).alias("j", "c"))
+    feet = feet.select("doc", "page", (100_000 + F.col("line") * 1000 + F.col("j")).alias("char_ord"), "c.text", "c.size", (850.0 + F.col("line") * 3).alias("top"), (F.col("j") * 5.0).alias("x0"))
+    return rows.union(feet).withColumn("x1", F.col("x0") + 5)

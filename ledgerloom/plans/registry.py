@@ -8,6 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.pdf import pdf_markdown
+from ..operators.statements import card_transactions, deposit_rows, deposit_transactions
+from ..sources.files import archives_markdown, extension, parse
+
 
 @dataclass(frozen=True)
 class Scheme:
@@ -16,9 +20,10 @@ class Scheme:
     name: str
     label: str
     accepts: tuple[str, ...]
-    transform: Callable[[DataFrame], DataFrame] | None = None
+    transform: Callable[..., DataFrame]
+    raw_input: bool = False
     multi_file: bool = True
-    outputs: tuple[str, ...] = ("individual", "merged")
+    outputs: tuple[str, ...] = ("consolidated", "individual")
 
 
 @dataclass(frozen=True)
@@ -28,7 +33,7 @@ class Parser:
     name: str
     label: str
     detect: Callable[[Column], Column]
-    parse: Callable[..., DataFrame] | None = None
+    parse: Callable[..., DataFrame]
 
 
 #: File types by extension, and what marks the statement layouts.
@@ -41,11 +46,29 @@ def register(item: Scheme | Parser) -> None:
     (SCHEMES if isinstance(item, Scheme) else PARSERS)[item.name] = item
 
 
-register(Scheme("raw", "Raw text", EXTENSIONS))
-register(Scheme("mhtml2md", "Web page to Markdown", (".mhtml", ".mht")))
-register(Scheme("pdf2md", "PDF to Markdown", (".pdf",)))
-register(Parser("dbscc", "Card statement", lambda c: c.rlike(r"(?i)\bNEW TRANSACTIONS\b")))
-register(Parser("dbsdeposit", "Deposit statement", lambda c: c.rlike(r"(?i)DETAILS OF TRANSACTIONS\s+WITHDRAWAL\(\$\)\s+DEPOSIT\(\$\)")))
+def _raw(files: DataFrame) -> DataFrame:
+    return parse(files).select("filename", "text", "error")
+
+
+def _card(lines: DataFrame, words: DataFrame, pages: DataFrame, dates: DataFrame) -> DataFrame:
+    return card_transactions(lines, dates)
+
+
+def _deposit(lines: DataFrame, words: DataFrame, pages: DataFrame, dates: DataFrame) -> DataFrame:
+    return deposit_transactions(deposit_rows(words, pages), dates.select("doc", "year"))
+
+
+register(Scheme("raw", "Raw text", EXTENSIONS, _raw))
+register(Scheme("mhtml2md", "Web page to Markdown", (".mhtml", ".mht"), archives_markdown, raw_input=True))
+register(Scheme("pdf2md", "PDF to Markdown", (".pdf",), pdf_markdown, raw_input=True))
+register(Parser("dbscc", "Card statement", lambda c: c.rlike(r"(?i)\bNEW TRANSACTIONS\b"), _card))
+register(Parser("dbsdeposit", "Deposit statement", lambda c: c.rlike(r"(?i)DETAILS OF TRANSACTIONS\s+WITHDRAWAL\(\$\)\s+DEPOSIT\(\$\)"), _deposit))
+
+
+def file_type(name: Column) -> Column:
+    """A file's extension with its dot if it is a supported one, else null."""
+    ext = F.concat(F.lit("."), extension(name))
+    return F.when(ext.isin(*EXTENSIONS), ext)
 
 
 def auto_detect(text: Column) -> Column:

@@ -14,11 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import front_matter, markdown_name, postprocess_markdown
 from ..shipping import ship
-from .html import html_text
+from . import dom
+from .html import text_of
 
 #: Extensions by kind; the namespace of word-processing documents.
 ARCHIVES, PAGES, WORDS = ("mhtml", "mht"), ("html", "htm"), ("docx",)
+#: Files whose contents add up to so many bytes leave a worker together.
+GROUP_BYTES = 4 << 20
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -91,10 +95,12 @@ def _parsed(name: str, ext: str, content: bytes | None) -> dict:
             row["error"] = "No content"
         elif ext in ARCHIVES:
             row["html"], meta, images = archive(content)
-            row["meta"] = list(meta.items())
+            row["meta"] = list(dom.head_metadata(dom.parse(row["html"]), meta).items())
+            row["text"] = text_of(row["html"])
             row["images"] = [{"part_ord": k, "location": at, "mime": mime, "data": data} for k, (at, (mime, data)) in enumerate(images.items())]
         elif ext in PAGES:
             row["html"] = content.decode("utf-8", "ignore")
+            row["text"] = text_of(row["html"])
         elif ext in WORDS:
             row["text"] = docx_text(content)
         else:
@@ -115,15 +121,55 @@ def parse(files: DataFrame, name_col: str = "filename", content_col: str = "cont
     rows = files.select(F.col(name_col).alias("filename"), extension(F.col(name_col)).alias("ext"), F.col(content_col).alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("filename", pa.string()), ("ext", pa.string()), *_PARSED])
+        held, size = [], 0
         for batch in batches:
-            for k in range(batch.num_rows):  # files may be large: one row a batch
+            for k in range(batch.num_rows):  # files may be large: rows leave by their bytes
                 name, ext, content = (batch.column(i)[k].as_py() for i in range(3))
-                found = pa.RecordBatch.from_pylist([_parsed(name, ext, content)], _PARSED)
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([ext], pa.string()), *found.columns], names=["filename", "ext", *_PARSED.names])
-
-    out = rows.mapInArrow(
+                held.append({"filename": name, "ext": ext, **_parsed(name, ext, content)})
+                size += len(content or b"")
+                if size >= GROUP_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema)
+                held, size = [], 0
+
+    return rows.mapInArrow(
         run,
         "filename string, ext string, text string, html string, meta map<string,string>, "
         "images array<struct<part_ord:int,location:string,mime:string,data:binary>>, error string",
     )
-    return out.withColumn("text", F.coalesce("text", html_text(F.col("html"))))
+
+
+def archives_markdown(files: DataFrame, name_col: str = "filename", content_col: str = "content", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Archives as Markdown: ``keys``, filename (the output's), ``text`` with front matter, ``meta``.
+
+    An archive that cannot be converted has a text that says so and no metadata.
+    """
+    ship(files.sparkSession)
+
+    def of(content: bytes | None) -> tuple[str | None, dict[str, str], str | None]:
+        try:
+            page, meta, images = archive(content or b"")
+            return dom.markdown_of(page, [(at, len(data)) for at, (_, data) in images.items()]), dom.head_metadata(dom.parse(page), meta), None
+        except Exception as e:
+            return None, {}, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of(x) for x in batch.column(len(keys) + 1).to_pylist()]
+            added = [
+                pa.array([f[0] for f in found], pa.string()),
+                pa.array([list(f[1].items()) for f in found], pa.map_(pa.string(), pa.string())),
+                pa.array([f[2] for f in found], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*keys, "filename", "raw", "meta", "error"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in files.schema}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " * bool(keys) + "filename string, raw string, meta map<string,string>, error string"
+    rows = files.select(*keys, F.col(name_col).cast("string").alias("filename"), content_col).mapInArrow(run, schema)
+    front = front_matter(F.col("meta"))
+    text = F.concat(F.when(front != "", F.concat(front, F.lit("\n\n"))).otherwise(F.lit("")), postprocess_markdown(F.col("raw")))
+    text = F.coalesce(text, F.concat(F.lit("*Conversion failed: "), "error", F.lit("*")))
+    return rows.select(*keys, markdown_name(F.col("filename"), "mhtml2md").alias("filename"), text.alias("text"), "meta")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html as _html
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -13,18 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_lines, postprocess_markdown
 from ..shipping import ship
+from . import dom
 
-#: End tags that break a line, tags whose content goes, and class parts of page chrome.
+#: End tags that break a line.
 BREAKS = "p|div|tr|br|h[1-6]|li|td|th|dt|dd|blockquote"
-DROPPED = "script style noscript iframe svg object embed video audio canvas map input select textarea button nav footer aside header".split()
-NOISE = """sidebar breadcrumb cookie menu pagination toolbar social-share share-buttons related-posts advertisement ad-wrapper
-sticky-header sticky-footer popup modal banner toast notification skip-nav back-to-top announcement search-dropdown radio-container
-search-source printer print-preview icon_printer icon_ask_question linkAskQuestion webchat footerContainer return-to-top navbar-header
-nav-group headerTitle rss-feed aspNetHidden""".split()
-_NOISE = re.compile("|".join(map(re.escape, NOISE)), re.IGNORECASE)
-_VOID = set("area base br col embed hr img input link meta source track wbr".split())
-
-#: Entities that pages use without a parser; others need ``text_of``.
+#: Entities that pages use without a parser; others need ``texts``.
 ENTITIES = [("&copy;?", "©"), ("&middot;?", "·"), ("&quot;?", '"'), ("&lt;?", "<"), ("&gt;?", ">"), ("&nbsp;?", " "), ("&amp;?", "&")]
 
 
@@ -35,7 +27,8 @@ def unescape(c: Column) -> Column:
 
 
 def html_text(c: Column) -> Column:
-    """Text of flat pages without leaving the JVM: scripts, styles, comments and tags go, some end tags break lines."""
+    """Text of flat pages with common entities, without leaving the JVM: scripts, styles, comments and tags go, some end
+    tags break lines; ``texts`` takes any page."""
     for pattern, to in [
         (r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", ""),
         (r"(?s)<!--.*?-->", ""),
@@ -55,25 +48,18 @@ def site_name(url: Column) -> Column:
     return F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")), r"^www\.", "")
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """Links of a page: ``href``, and whether it leads anywhere."""
-    found = F.regexp_extract_all("html", F.lit(r'<a\s+href="([^"]*)"'), F.lit(1))
-    rows = pages.select("page_id", F.explode(found).alias("href"))
-    return rows.withColumn("kept", ~((F.col("href") == "") | F.col("href").startswith("#") | F.col("href").startswith("javascript:")))
-
-
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.skip = 0
+        self.skip = False
 
     def handle_starttag(self, tag, attrs):
-        self.skip += tag in ("script", "style")
+        self.skip |= tag in ("script", "style")
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
+            self.skip = False
         elif re.fullmatch(BREAKS, tag):
             self.out.append("\n")
 
@@ -94,125 +80,48 @@ def text_of(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-class _Markdown(HTMLParser):
-    """Writes Markdown in one pass: chrome is skipped, blocks are separated, inline marks kept."""
+def _batched(pages: DataFrame, id_col: str, html_col: str, name: str, kind: str, of) -> DataFrame:
+    """(id, ``name``) with ``of(page)`` for each page, null for a null page; whole pages travel in Arrow batches."""
+    ship(pages.sparkSession)
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.stack: list[tuple[str, bool]] = []
-        self.dropping = 0
-        self.lists: list[list] = []
-        self.href: list[tuple[str, int]] = []
-        self.cells: list[str] | None = None
-        self.rows = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of(x) if x is not None else None for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, arrow)], names=[id_col, name])
 
-    def block(self) -> None:
-        self.out.append("\n\n")
+    arrow = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}[kind]
+    return pages.select(F.col(id_col).cast("long").alias(id_col), html_col).mapInArrow(run, f"`{id_col}` long, {name} {kind}")
 
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        style = a.get("style", "").replace(" ", "")
-        noise = tag in DROPPED or "display:none" in style or "visibility:hidden" in style or bool(_NOISE.search(f"{a.get('class', '')} {a.get('id', '')}"))
-        if tag == "body":
-            noise = False
-        if tag not in _VOID:
-            # A paragraph, list item or cell ends where the next one starts.
-            if tag in ("p", "li", "td", "th", "tr") and any(t == tag for t, _ in self.stack[-3:]):
-                self.handle_endtag(tag)
-            self.stack.append((tag, noise))
-            self.dropping += noise
-        if self.dropping:
-            return
-        if re.fullmatch("h[1-6]", tag):
-            self.block()
-            self.out.append("#" * int(tag[1]) + " ")
-        elif tag in ("p", "div", "article", "section", "main", "blockquote", "table"):
-            self.block()
-            self.rows = 0 if tag == "table" else self.rows
-        elif tag in ("b", "strong", "u"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag == "br":
-            self.out.append("\n")
-        elif tag in ("ul", "ol"):
-            self.lists.append([tag, 0])
-            self.block()
-        elif tag == "li":
-            if self.lists:
-                self.lists[-1][1] += 1
-            mark = f"{self.lists[-1][1]}." if self.lists and self.lists[-1][0] == "ol" else "-"
-            self.out.append("\n" + "  " * max(0, len(self.lists) - 1) + mark + " ")
-        elif tag == "a":
-            self.href.append((a.get("href", ""), len(self.out)))
-        elif tag == "tr":
-            self.out.append("\n|")
-            self.rows += 1
-            self.cells = []
-        elif tag in ("td", "th"):
-            self.out.append(" ")
 
-    def handle_endtag(self, tag):
-        if not any(t == tag for t, _ in self.stack):
-            return
-        live = not self.dropping
-        while self.stack:
-            t, noise = self.stack.pop()
-            self.dropping -= noise
-            if t == tag:
-                break
-        if not live:
-            return
-        if tag in ("b", "strong", "u"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag == "a" and self.href:
-            href, at = self.href.pop()
-            text = "".join(self.out[at:])
-            if href and not href.startswith("#") and not href.startswith("javascript:"):
-                self.out[at:] = [href if text.strip() == href else f"[{text}]({href})"]
-        elif tag in ("td", "th"):
-            self.out.append(" |")
-            if self.cells is not None:
-                self.cells.append("---")
-        elif tag == "tr" and self.cells and self.rows == 1:
-            self.out.append("\n| " + " | ".join(self.cells) + " |")
-        elif tag in ("ul", "ol") and self.lists:
-            self.lists.pop()
-            self.block()
-        elif re.fullmatch("h[1-6]", tag) or tag in ("p", "div", "article", "section", "main", "blockquote", "table"):
-            self.block()
+def texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, ``text``) of any page: ``text_of``."""
+    return _batched(pages, id_col, html_col, "text", "string", text_of)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
 
-    def handle_data(self, data):
-        if not self.dropping and not any(t in ("head", "title") for t, _ in self.stack):
-            self.out.append(re.sub(r"\s+", " ", data))
+def markdown(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Markdown of each page: id, ``md``. The tree passes run in Arrow batches, the clean-up in the JVM."""
+    out = _batched(pages, id_col, html_col, "raw", "string", dom.markdown_of)
+    return out.select(id_col, postprocess_markdown(F.col("raw")).alias("md"))
 
 
-def markdown_of(page: str) -> str:
-    p = _Markdown()
-    p.feed(page)
-    return re.sub(r"\*\*\s*\*\*", "", "".join(p.out))
+def content_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, ``text``): the words of a page's content, without its frame and noise, in single blanks."""
 
+    def of(page: str) -> str:
+        root = dom.body_of(dom.parse(page))
+        dom.strip_noise(root)
+        return " ".join(root.text().split())
 
-def markdown(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Markdown of each page: id, ``md``. The tree pass runs in Arrow batches, the clean-up in the JVM."""
-    ship(pages.sparkSession)
+    return _batched(pages, id_col, html_col, "text", "string", of)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            md = [markdown_of(x) if x is not None else None for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(md, pa.string())], names=[id_col, "raw"])
 
-    out = pages.select(F.col(id_col).cast("long").alias(id_col), html_col).mapInArrow(run, f"{id_col} long, raw string")
-    return out.select(id_col, postprocess_markdown(F.col("raw")).alias("md"))
+def metadata(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, ``meta``): a map of what the page's head says."""
+    return _batched(pages, id_col, html_col, "meta", "map<string,string>", lambda page: list(dom.head_metadata(dom.parse(page), {}).items()))
 
 
-def decode_entities(text: str) -> str:
-    return _html.unescape(text)
+def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Links of a page: ``href``, and whether it leads anywhere."""
+    found = _batched(pages, id_col, html_col, "hrefs", "array<string>", lambda page: [n.get("href").strip() for n in dom.parse(page).walk() if n.tag == "a"])
+    rows = found.select(id_col, F.explode("hrefs").alias("href"))
+    return rows.withColumn("kept", ~((F.col("href") == "") | F.col("href").startswith("#") | F.col("href").startswith("javascript:")))

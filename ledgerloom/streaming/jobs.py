@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,13 @@ from ..operators.jobs import latest_state
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder that driver and executors share; a local one only for a local master that names none."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="ledgerloom-"))
     return sc.getCheckpointDir()
 
 
@@ -53,10 +55,30 @@ def fold_stream(spark: SparkSession, path: str) -> DataFrame:
     return state.groupBy("job_id").agg(F.max("last").alias("last"), F.sum("n").alias("n_events")).select("job_id", "last.status", "n_events")
 
 
-def progress_events(batch: DataFrame, number: int, total: int) -> DataFrame:
-    """Rows of the progress feed for a batch of files: one ``progress`` per file, then ``processing``."""
-    files = batch.select(F.lit("progress").alias("type"), F.to_json(F.struct(F.lit(number).alias("current"), F.lit(total).alias("total"), "filename")).alias("payload"))
-    return files.union(batch.sparkSession.createDataFrame([("processing", "{}")], files.schema))
+def stream_events(spark: SparkSession, folder: str, scheme: str = "raw", output_mode: str = "consolidated") -> DataFrame:
+    """The progress feed of all files of a folder, read as a stream; a folder below it is a request.
+
+    Each batch's rows are stored under its number, so a batch that is repeated after a failure counts once.
+    """
+    from ..engine import events
+
+    base = f"{workspace(spark)}/events-{uuid.uuid4().hex}"
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
+    parts = F.split("path", "/")
+    files = files.select(F.element_at(parts, -2).alias("request_id"), F.element_at(parts, -1).alias("filename"), "content")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        ordered = batch.withColumn("file_ord", F.xxhash64("filename"))
+        events(ordered, scheme, output_mode).write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    run_to_end(files, sink, f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/rows").drop("batch")
+
+
+def stop(query, wait: float = 10.0) -> bool:
+    """Ends a stream; whether it ended within ``wait`` seconds."""
+    query.stop()
+    return query.awaitTermination(wait) is not False
 
 
-__all__ = ["fold_stream", "latest_state", "progress_events", "run_to_end", "tumbling", "workspace"]
+__all__ = ["fold_stream", "latest_state", "run_to_end", "stop", "stream_events", "tumbling", "workspace"]

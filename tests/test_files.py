@@ -58,7 +58,7 @@ def test_parse_by_kind(spark):
     assert got["d.xyz"]["error"] == got["none"]["error"] == "Unsupported file type"
     assert got["null.html"]["error"] == "No content"
     page = got["b.mht"]
-    assert page["meta"] == {"title": "A page", "source": "https://www.example.org/a", "saved": "2024-01-02"}
+    assert page["meta"] == {"title": "A page", "source": "https://www.example.org/a", "saved": "2024-01-02", "site_name": "example.org"}
     assert [tuple(x) for x in page["images"]] == [(0, "https://www.example.org/a.png", "image/png", bytearray(b"\0\1\2"))]
     assert S.parse(df.limit(0)).count() == 0
 
