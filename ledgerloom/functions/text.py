@@ -37,7 +37,7 @@ def title_case(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """White space runs become one blank; ends are stripped."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def normalise_line(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import is_bare_number, is_toc_row, normalise_line, strip
+from ..functions.text import is_bare_number, is_toc_row, let, normalise_line, strip
 
 
 def lines_of(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -16,10 +16,13 @@ def lines_of(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 def band_lines(pages: DataFrame, band: int = 3, text: str = "text") -> DataFrame:
     """First and last non-blank lines of each page (doc, page): ``band`` (top, bottom), ``line``."""
-    full = F.filter(F.split(text, "\n"), lambda x: strip(x) != "")
-    both = F.array(
-        F.struct(F.lit("top").alias("band"), F.slice(full, 1, band).alias("lines")),
-        F.struct(F.lit("bottom").alias("band"), F.when(F.size(full) > band, F.slice(full, -band, band)).otherwise(full).alias("lines")),
+    full = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?U)\S"))
+    both = let(
+        full,
+        lambda a: F.array(
+            F.struct(F.lit("top").alias("band"), F.slice(a, 1, band).alias("lines")),
+            F.struct(F.lit("bottom").alias("band"), F.when(F.size(a) > band, F.slice(a, -band, band)).otherwise(a).alias("lines")),
+        ),
     )
     return pages.select("doc", "page", F.inline(both)).select("doc", "page", "band", F.explode("lines").alias("line"))
 
@@ -44,7 +47,7 @@ BROADCAST_ROWS = 200_000
 def strip_repeated(lines: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """Lines (doc, ..., line) without headers, footers and bare page numbers."""
     rows = lines.where(~is_bare_number(F.col("line"))).withColumn("norm", normalise_line(F.col("line")))
-    prints = fingerprints.select("doc", "norm")
+    prints = fingerprints.select("doc", "norm").persist()  # counted, then used
     if prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         prints = F.broadcast(prints)
     return rows.join(prints, ["doc", "norm"], "left_anti").drop("norm")
