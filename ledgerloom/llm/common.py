@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,12 @@ class Tables:
     def keep(self, df: DataFrame) -> DataFrame:
         return self._written(df)[0]
 
+    def folder(self) -> str:
+        """A folder of its own, which goes with the tables."""
+        path = f"{shared_dir(self.spark)}/folder-{uuid.uuid4().hex}"
+        self.paths[path] = path
+        return path
+
     def write(self, df: DataFrame) -> DataFrame:
         out, path = self._written(df)
         self.paths[path] = path
@@ -152,6 +160,13 @@ def components(tables: Tables, links: DataFrame, a: str = "a", b: str = "b") ->
     )
 
 
+def folder_of(path: str):
+    """pyarrow's file system of a folder that a worker reads or writes, and the folder's path in it."""
+    if "://" in path or path.startswith("file:"):
+        return pa.fs.FileSystem.from_uri(path)
+    return pa.fs.LocalFileSystem(), path
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package on the workers' path."""
     ship(df.sparkSession)

@@ -43,14 +43,15 @@ def _geometric(ratio: int, n: int) -> np.ndarray:
     return out
 
 
-def text_hashes(raw: bytes) -> np.ndarray:
-    """Hashes of the words of a text: runs of other than ASCII white space, A-Z as a-z.
+def text_hashes(raw: bytes, cased: bool = False) -> np.ndarray:
+    """Hashes of the words of a text: runs of other than ASCII white space, A-Z as a-z unless ``cased``.
 
     Sums of byte values times powers of an odd number run over the whole text; a word's
     hash is a difference of two of them, moved back to the word's start by an inverse power.
     """
     global _powers, _inverses
     found, at = [], 0
+    values = _cased if cased else _values
     with np.errstate(over="ignore"):
         while at < len(raw):
             end = len(raw)
@@ -70,7 +71,7 @@ def text_hashes(raw: bytes) -> np.ndarray:
             space[1:-1] = _space[b]
             edges = np.flatnonzero(space[1:] != space[:-1])
             run = np.zeros(len(b) + 1, np.uint64)
-            np.cumsum(_values[b] * _powers[: len(b)], out=run[1:])
+            np.cumsum(values[b] * _powers[: len(b)], out=run[1:])
             first, last = edges[::2], edges[1::2]
             found.append(scramble((run[last] - run[first]) * _inverses[first] ^ (last - first).astype(np.uint64)))
             at = end
@@ -84,6 +85,14 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unscramble(x: np.ndarray) -> np.ndarray:
+    """The inverse of ``scramble``, which maps no two numbers to one."""
+    for shift, factor in ((31, _B), (27, _A)):
+        x = x ^ (x >> np.uint64(shift)) ^ (x >> np.uint64(2 * shift))
+        x = x * np.uint64(pow(int(factor), -1, 1 << 64))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` consecutive word hashes."""
     if len(h) < n:
@@ -105,5 +114,6 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 
 # A value for each byte, the same for an upper-case letter and its lower case.
-_values = scramble(np.arange(1, 257, dtype=np.uint64) * _MIX)
+_cased = scramble(np.arange(1, 257, dtype=np.uint64) * _MIX)
+_values = _cased.copy()
 _values[65:91] = _values[97:123]

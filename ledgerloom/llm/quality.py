@@ -1,32 +1,46 @@
 """Document quality: fixed rules, then the perplexity of a modified Kneser-Ney model.
 
-The model counts character n-grams of all documents. Characters are folded to 64
-symbols, so an n-gram of order four has 24 bits and the model is bounded by
-64**4 entries whatever the corpus; it is kept as sorted arrays of hashed n-grams with
-their log probabilities. Log perplexities form a histogram per language, whose quartiles
-set a lower and an upper limit for that language.
+The model counts word bigrams of all documents, cased, and grows with them. No task holds
+it whole: each chunk of documents sends its distinct bigrams, as sorted hashes, to the
+buckets that hold the totals, and each bucket sends the totals back in the order asked;
+words go the same way for what their contexts and continuations need. A chunk's answers,
+sorted arrays beside its own sorted hashes, are all that it needs to be scored. Every
+occurrence is scored as if it had not been counted itself, so that words which only one
+document has are as improbable as they are elsewhere. Log perplexities form a histogram
+per language, whose quartiles set a lower and an upper limit for that language.
+
+A chunk is a run of rows of an input partition. Documents are read two or three times, and must
+come in the same partitions each time, as they do from files; an input that a plan shuffles
+is written to a table first. A sum over each chunk is compared, so an input that
+changes none the less is an error.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import cut, fresh, map_arrow, small
-
-ORDER = 4
-#: Interquartile ranges that a language's band extends beyond its quartiles.
-SPREAD = 3.0
-#: Further width in nats, divided by the root of a document's characters: means of short texts scatter more.
-MARGIN = 1.0
-#: Characters that are worked on at once, whatever the length of a text.
-CHUNK = 1 << 20
+from .common import Tables, folder_of, map_arrow, shared_dir, small
+from .hashing import distinct, scramble, text_hashes, unscramble
+
+#: Characters of text that make a chunk; a longer text is a chunk of its own.
+CHUNK = 1 << 23
+#: Bytes of text for each bucket of the model.
+BUCKET_BYTES = 16 << 20
+#: A language's band extends beyond each quartile by so many times that quartile's distance from the median.
+SPREAD = 5.0
+#: Further width in nats, divided by the root of a document's words: means of short texts scatter more.
+MARGIN = 2.0
 #: Histogram bins per nat.
 BINS = 1000
 MIN_WORDS = 50
@@ -34,74 +48,164 @@ REPEATED_PERCENT = 50
 
 _WHITE = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
-_START, _SPACE, _DIGIT = 0, 1, 2
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
-_SHOUT, _STOP, _MARK, _FIRST_OTHER = 29, 30, 31, 32
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of messages: totals of bigrams, figures of words, a chunk's sum, parts of words' figures, scalars.
+PAIRS, WORDS, CHECK, PARTS, SCALARS = range(5)
+_MESSAGE = "kind byte, bucket int, chunk long, keys binary, data binary"
+_FIELDS = _MESSAGE.replace(" byte", "").replace(" int", "").replace(" long", "").replace(" binary", "").split(", ")
+_TYPES = [pa.int8(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def word_ids(text: str) -> np.ndarray:
+    """32-bit hashes of the words of a text, none 0, which stands for its start."""
+    return np.maximum(text_hashes(text.encode("utf-8", "replace"), cased=True) >> np.uint64(32), np.uint64(1))
 
 
-def _folding() -> np.ndarray:
-    """Symbol (below 64) of each code point: space, digits, letters, capitals, stops, marks; others by residue."""
-    table = (_FIRST_OTHER + np.arange(0x110000) % 32).astype(np.uint8)
-    table[[9, 10, 11, 12, 13, 32]] = _SPACE
-    table[48:58] = _DIGIT
-    table[97:123] = np.arange(3, 29)
-    table[65:91] = _SHOUT
-    table[[ord(c) for c in ".,;:?'\"()-"]] = _STOP
-    table[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:?'\"()-"]] = _MARK
-    return table
+class Chunk:
+    """Documents that ask together: the words of each, and the hashes of all their bigrams."""
 
+    def __init__(self, number: int) -> None:
+        self.number, self.docs, self.size = number, [], 0
 
-_fold: np.ndarray | None = None
+    def add(self, text: str) -> None:
+        self.docs.append(word_ids(text))
+        self.size += len(text) + 1
 
+    def close(self) -> Chunk:
+        self.sizes = np.array([len(d) for d in self.docs], np.int64)
+        self.words = np.concatenate([np.empty(0, np.uint64), *self.docs])
+        self.before = np.zeros(len(self.words), np.uint64)
+        self.before[1:] = self.words[:-1]
+        self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
+        self.pairs = scramble(self.before << np.uint64(32) | self.words)
+        self.check = int(np.bitwise_xor.reduce(self.pairs, initial=np.uint64(len(self.docs))).view(np.int64))
+        return self
 
-def codes(text: str) -> Iterator[np.ndarray]:
-    """24-bit codes of the n-grams that end at each character, ``CHUNK`` characters at a time.
 
-    The text stands behind ``ORDER - 1`` start symbols.
+def chunks(texts: Iterator[str | None], chunk: int) -> Iterator[tuple[int, Chunk | None]]:
+    """Numbers the chunk of each text; with the last text of a chunk comes the chunk itself.
+
+    As the last of all texts is known only behind it, a chunk that is not full comes alone, with number -1.
     """
-    global _fold
-    if _fold is None:
-        _fold = _folding()
-    before = np.zeros(ORDER - 1, np.uint32)
-    for at in range(0, len(text), CHUNK):
-        points = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "replace"), np.uint32)
-        x = np.concatenate([before, _fold[points].astype(np.uint32)])
-        before = x[-(ORDER - 1) :]
-        yield (x[:-3] << 18) | (x[1:-2] << 12) | (x[2:-1] << 6) | x[3:]
-
-
-def hashed(code: np.ndarray) -> np.ndarray:
-    """A bijection of 64 bits, so that distinct n-grams stay distinct."""
-    return (code.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def packed(parts):
-        code, n = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return code, np.bincount(n, np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-    held, waiting, size = [], [], 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for code in codes(text or ""):
-                waiting.append(code)
-                size += len(code)
-                if size >= CHUNK:
-                    held.append(np.unique(np.concatenate(waiting), return_counts=True))
-                    waiting, size = [], 0
-                    if len(held) >= 16:
-                        held = [packed(held)]
-    if waiting:
-        held.append(np.unique(np.concatenate(waiting), return_counts=True))
-    if held:
-        code, n = packed(held)
-        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(n)], names=["gram", "n"])
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
+    context = TaskContext.get()
+    own = Chunk((context.partitionId() if context else 0) << 24)
+    for text in texts:
+        own.add(text or "")
+        number, full = own.number, own.size >= chunk
+        yield number, own.close() if full else None
+        if full:
+            own = Chunk(number + 1)
+    if own.docs:
+        yield -1, own.close()
+
+
+def _slices(values: np.ndarray, bits: int, width: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted values by their first ``bits`` of ``width``."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)
+    at = [0, *np.searchsorted(values, edges).tolist(), len(values)]
+    return [(k, a, b) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], names=_FIELDS)
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.sort(x)
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
+    return x[starts], np.diff(np.append(starts, len(x)))
+
+
+def _ask(bits: int, chunk: int):
+    """Texts -> what each chunk asks: bigrams with their counts, and words, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in chunks((x for batch in batches for x in batch.column(0).to_pylist()), chunk):
+            if own is None:
+                continue
+            pairs, n = _counted(own.pairs)
+            n = n.astype("<u4")
+            rows = [(PAIRS, k, own.number, pairs[a:b].tobytes(), n[a:b].tobytes()) for k, a, b in _slices(pairs, bits, 64)]
+            words = distinct(np.append(own.words, np.uint64(0)))
+            rows += [(WORDS, k, own.number, words[a:b].astype("<u4").tobytes(), b"") for k, a, b in _slices(words, bits, 32)]
+            rows.append((CHECK, 0, own.number, b"", np.array([own.check], "<i8").tobytes()))
+            yield _packed(rows)
+
+    return run
+
+
+def _joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All blobs of a column as one array, and their lengths."""
+    blobs = [x or b"" for x in column.to_pylist()]
+    return np.frombuffer(b"".join(blobs), kind), np.array([len(b) // np.dtype(kind).itemsize for b in blobs], np.int64)
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts, starts of equal runs in it, and the distinct keys."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), ordered[1:] != ordered[:-1]]))
+    return order, starts, ordered[starts]
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts) if len(starts) else values[:0]
+
+
+def _tally(n: np.ndarray) -> list[int]:
+    return [int(np.count_nonzero(n == k)) for k in (1, 2, 3, 4)]
+
+
+def _total_pairs(bits: int):
+    """One bucket of bigrams: answers totals to every chunk, and parts of the figures of their words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+        if kind != PAIRS:
+            return table
+        keys, sizes = _joined(table.column("keys"), "<u8")
+        counts = _joined(table.column("data"), "<u4")[0].astype(np.int64)
+        order, starts, found = _grouped(keys)
+        totals = _sums(counts[order], starts)
+        answer = np.empty(len(keys), "<u4")
+        answer[order] = np.minimum(np.repeat(totals, np.diff(np.append(starts, len(keys)))), 0xFFFFFFFF)
+        ends = np.cumsum(sizes)
+        rows = [(PAIRS, bucket, c, None, answer[e - n : e].tobytes()) for c, e, n in zip(table.column("chunk").to_pylist(), ends, sizes)]
+        both = unscramble(found)
+        before, word = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+        figures = np.zeros((2 * len(found), 5), np.int64)
+        figures[: len(found), 0] = totals
+        for k in (1, 2, 3):
+            figures[: len(found), k] = (totals == k) if k < 3 else (totals >= 3)
+        figures[len(found) :, 4] = 1
+        order, starts, names = _grouped(np.concatenate([before, word]))
+        figures = np.add.reduceat(figures[order], starts) if len(starts) else figures[:0]
+        rows += [(PARTS, k, 0, names[a:b].astype("<u4").tobytes(), figures[a:b].astype("<i8").tobytes()) for k, a, b in _slices(names, bits, 32)]
+        rows.append((SCALARS, 0, 0, None, np.array([*_tally(totals), len(found), 0], "<i8").tobytes()))
+        return pa.Table.from_batches([_packed(rows)])
+
+    return run
+
+
+def _total_words(table: pa.Table) -> pa.Table:
+    """One bucket of words: sums the parts of their figures, and answers every chunk."""
+    kinds = np.array(table.column("kind").to_pylist())
+    parts, asked = table.filter(pa.array(kinds == PARTS)), table.filter(pa.array(kinds == WORDS))
+    names = _joined(parts.column("keys"), "<u4")[0]
+    order, starts, names = _grouped(names)
+    figures = _joined(parts.column("data"), "<i8")[0].reshape(-1, 5)
+    figures = np.add.reduceat(figures[order], starts) if len(starts) else figures[:0]
+    rows = []
+    for chunk, blob in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist()):
+        answer = figures[np.searchsorted(names, np.frombuffer(blob, "<u4"))]
+        rows.append((WORDS, table.column("bucket")[0].as_py(), chunk, None, answer.astype("<i8").tobytes()))
+    kinds_of = figures[:, 4]
+    rows.append((SCALARS, 1, 0, None, np.array([*_tally(kinds_of), np.count_nonzero(kinds_of), kinds_of.sum()], "<i8").tobytes()))
+    return pa.Table.from_batches([_packed(rows)])
+
+
+def _discounts(tally: list[int]) -> np.ndarray:
     """Discounts for counts 1, 2 and 3 or more (Chen and Goodman, 1999)."""
-    t = [float(np.count_nonzero(n == k)) for k in (1, 2, 3, 4)]
+    t = [float(x) for x in tally]
     if not all(t):  # too little text to estimate them
         return np.array([0.0, 0.5, 0.75, 0.9])
     y = t[0] / (t[0] + 2 * t[1])
@@ -109,81 +213,90 @@ def _discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Interpolated modified Kneser-Ney over the counted n-grams of order ``ORDER``.
-
-    For each order there are sorted hashed n-grams, their log probabilities, and the log
-    weights by which their context falls back.
-    """
-
-    def __init__(self, code: np.ndarray, n: np.ndarray) -> None:
-        # Counts of the highest order; below it, in how many contexts an n-gram occurs.
-        levels = [(code.astype(np.int64), n.astype(np.int64))]
-        for order in range(ORDER - 1, 0, -1):
-            below, kinds = np.unique(levels[0][0] & ((1 << 6 * order) - 1), return_counts=True)
-            levels.insert(0, (below, kinds))
-        uniform = 1.0 / 64
-        lower = np.full(1, uniform)
-        self.keys, self.logp, self.contexts, self.weights = [], [], [], []
-        for order, (grams, counts) in enumerate(levels, 1):
-            d = _discounts(counts)
-            context, place = np.unique(grams >> 6, return_inverse=True)
-            total = np.bincount(place, counts)
-            taken = np.bincount(place, d[np.minimum(counts, 3)])
-            weight = taken / total
-            if order == 1:
-                back = lower[np.zeros(len(grams), np.int64)]
-            else:
-                suffix = grams & ((1 << 6 * (order - 1)) - 1)
-                back = lower[np.searchsorted(levels[order - 2][0], suffix)]
-            p = (counts - d[np.minimum(counts, 3)]) / total[place] + weight[place] * back
-            for name, key, value in (("keys", grams, p), ("contexts", context, weight)):
-                h = hashed(key)
-                by = np.argsort(h)
-                getattr(self, name).append(h[by])
-                (self.logp if name == "keys" else self.weights).append(np.log(np.maximum(value, 1e-300))[by].astype(np.float32))
-            lower = p
-
-    def _find(self, keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, absent: float) -> np.ndarray:
-        if not len(keys):
-            return np.full(len(wanted), absent, np.float32)
-        h = hashed(wanted)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, values[at], np.float32(absent))
-
-    def logs(self, code: np.ndarray) -> np.ndarray:
-        """Log probabilities of n-grams, seen or not."""
-        out = np.full(len(code), np.log(1.0 / 64), np.float32)
-        code = code.astype(np.int64)
-        for order in range(1, ORDER + 1):
-            gram = code & ((1 << 6 * order) - 1)
-            out = out + self._find(self.contexts[order - 1], self.weights[order - 1], gram >> 6, 0.0)
-            seen = self._find(self.keys[order - 1], self.logp[order - 1], gram, np.nan)
-            out = np.where(np.isnan(seen), out, seen)
-        return out
-
-
-class Lookup:
-    """A worker's table of the log probabilities it has met: 64 MB, filled from the model's arrays."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.table = np.full(1 << 6 * ORDER, np.nan, np.float32)
-
-    def total(self, code: np.ndarray) -> float:
-        log = self.table[code]
-        new = np.isnan(log)
-        if new.any():
-            missing = np.unique(code[new])
-            self.table[missing] = self.model.logs(missing)
-            log = self.table[code]
-        return float(log.sum(dtype=np.float64))
-
-
-def fit(texts: DataFrame) -> Model:
-    """The model of all texts of a one-column frame; counts are summed by Spark."""
-    counted = map_arrow(texts, _counts, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy("gram").toArrow()  # at most 64**4 rows
-    return Model(rows.column(0).to_numpy(), rows.column(1).to_numpy())
+    """What all chunks share: discounts of bigram counts and of words' kinds of contexts, and totals."""
+
+    def __init__(self, pairs: list[int], words: list[int]) -> None:
+        self.of_pairs, self.of_words = _discounts(pairs[:4]), _discounts(words[:4])
+        self.n_words, self.kinds = max(1, words[4]), max(1, words[5])
+        d = self.of_words
+        self.spare = (d[1] * words[0] + d[2] * words[1] + d[3] * max(0, words[4] - words[0] - words[1])) / self.kinds
+
+    def logs(self, count: np.ndarray, before: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Log probabilities of occurrences, each left out of the counts.
+
+        ``count`` is the bigram's, ``before`` the first word's figures (count, followers seen once, twice, more
+        often), ``kinds`` the number of words that the second one follows.
+        """
+        left = count - 1
+        context = before[:, 0] - 1
+        known = context > 0
+        seen = np.maximum(left - self.of_pairs[np.minimum(left, 3)], 0) / np.maximum(context, 1)
+        back = np.where(known, before[:, 1:4] @ self.of_pairs[1:] / np.maximum(before[:, 0], 1), 1.0)
+        others = kinds - (count == 1)
+        lower = np.maximum(others - self.of_words[np.minimum(others, 3)], 0) / self.kinds + self.spare / self.n_words
+        return np.log(np.where(known, seen, 0) + back * np.maximum(lower, 1e-12))
+
+    def score(self, own: Chunk, totals: np.ndarray, figures: np.ndarray) -> np.ndarray:
+        """Mean log perplexity of each document of a chunk, by the answers to it; 0 without words."""
+        pairs, words = distinct(own.pairs), distinct(np.append(own.words, np.uint64(0)))
+        if (len(pairs), len(words)) != (len(totals), len(figures)):
+            raise RuntimeError(_CHANGED)
+        place = np.searchsorted(words, own.words)
+        before = np.zeros(len(place), np.int64)
+        before[1:] = place[:-1]
+        before[own.before == 0] = 0
+        log = np.concatenate([
+            self.logs(totals[np.searchsorted(pairs, own.pairs[k : k + _STEP])].astype(np.int64), figures[before[k : k + _STEP]], figures[place[k : k + _STEP], 4])
+            for k in range(0, max(1, len(place)), _STEP)
+        ])
+        run = np.concatenate([np.zeros(1), np.cumsum(log)])
+        ends = np.cumsum(own.sizes)
+        return -(run[ends] - run[ends - own.sizes]) / np.maximum(own.sizes, 1)
+
+
+_CHANGED = "the documents came in other partitions than before; write them to a table first"
+_STEP = 1 << 20
+
+
+class Answers:
+    """Reads a chunk's answers from the shared folder."""
+
+    def __init__(self, path: str) -> None:
+        self.fs, self.root = folder_of(path)
+
+    def of(self, own: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.rows(own.number)
+        blob = lambda kind: b"".join(r["data"] for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"]))
+        if int(np.frombuffer(blob(CHECK), "<i8")[0]) != own.check:
+            raise RuntimeError(_CHANGED)
+        return np.frombuffer(blob(PAIRS), "<u4"), np.frombuffer(blob(WORDS), "<i8").reshape(-1, 5)
+
+    def rows(self, number: int) -> list[dict]:
+        place = f"{self.root}/chunk={number}"
+        if self.fs.get_file_info(place).type == pa.fs.FileType.NotFound:
+            raise RuntimeError(_CHANGED)
+        found = [f.path for f in self.fs.get_file_info(pa.fs.FileSelector(place)) if f.path.endswith(".parquet")]
+        return [r for f in sorted(found) for r in pq.ParquetFile(self.fs.open_input_file(f)).read().to_pylist()]
+
+
+def fit(tables: Tables, texts: DataFrame) -> tuple[Model, str]:
+    """The model's shared figures, and the folder of the answers to each chunk of a one-column frame of texts."""
+    total = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+    bits = max(3, int(total // BUCKET_BYTES).bit_length())
+    asked = map_arrow(texts, _ask(bits, CHUNK), _MESSAGE)
+    first = tables.write(asked.groupBy("kind", "bucket").applyInArrow(_total_pairs(bits), _MESSAGE))
+    words = first.where(F.col("kind").isin(WORDS, PARTS)).groupBy("bucket").applyInArrow(_total_words, _MESSAGE)
+    second = tables.write(words)
+    both = first.where(F.col("kind").isin(PAIRS, CHECK)).unionByName(second.where(F.col("kind") == WORDS)).select("kind", "bucket", "chunk", "data")
+    path = tables.folder()
+    both.repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(path)
+    sums = [[0] * 6, [0] * 6]
+    # A row of six numbers for each bucket.
+    for r in first.unionByName(second).where(F.col("kind") == SCALARS).select("bucket", "data").toLocalIterator():
+        sums[r["bucket"]] = [a + int(b) for a, b in zip(sums[r["bucket"]], np.frombuffer(r["data"], "<i8"))]
+    tables.drop(first)
+    tables.drop(second)
+    return Model(*sums), path
 
 
 def rules(text: str) -> tuple[int, int, int, int, int]:
@@ -218,33 +331,38 @@ def rules(text: str) -> tuple[int, int, int, int, int]:
 _FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]
 
 
-def _scored(df: DataFrame, model, text_col: str, names: list[str], drop_text: bool) -> DataFrame:
-    """``df`` with the rules' figures and the log perplexity under ``names``, with or without its text."""
-    at = df.columns.index(text_col)
-    keep = [k for k in range(len(df.columns)) if k != at or not drop_text]
+def _scored(docs: DataFrame, model: Model, path: str) -> DataFrame:
+    """(chunk, place in it, id, lang, the rules' figures, log perplexity) of (id, lang, text)."""
+    shared, chunk = docs.sparkSession.sparkContext.broadcast(model), CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lookup(model.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            found = np.array([rules(t) for t in texts], np.int64).reshape(len(texts), 5)
-            logs = np.array([-sum(map(own.total, codes(t))) / max(1, len(t)) for t in texts], np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in keep] + [pa.array(found[:, k]) for k in range(5)] + [pa.array(np.round(logs, 6))],
-                names=[batch.schema.names[k] for k in keep] + names,
-            )
+        answers, held = Answers(path), []
+
+        def texts() -> Iterator[str | None]:
+            for batch in batches:
+                for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    held.append((doc, lang, *rules(text or "")))
+                    yield text
+
+        for _, own in chunks(texts(), chunk):
+            if own is None:
+                continue
+            logs = np.round(shared.value.score(own, *answers.of(own)), 6)
+            columns = [pa.array(np.full(len(held), own.number)), pa.array(np.arange(len(held), dtype=np.int32))]
+            columns += [pa.array([r[k] for r in held], t) for k, t in enumerate([pa.int64(), pa.string(), *[pa.int64()] * 5])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(logs, pa.float64())], names=["chunk", "place", "id", "lang", *_FIGURES])
+            held.clear()
 
-    fields = [df.schema[k] for k in keep]
-    fields += [T.StructField(x, T.DoubleType() if k == 5 else T.LongType()) for k, x in enumerate(names)]
-    return map_arrow(df, run, T.StructType(fields))
+    figures = ", ".join(f"{x} {'double' if x == 'log_perplexity' else 'long'}" for x in _FIGURES)
+    return map_arrow(docs, run, f"chunk long, place int, id long, lang string, {figures}")
 
 
 def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words") -> Column:
     return (F.col(n_words) < MIN_WORDS) | (100 * F.col(n_repeat_words) > REPEATED_PERCENT * F.col(n_words))
 
 
-def _in_band(log_perplexity: str, word_chars: str, low: str, high: str) -> Column:
-    scatter = MARGIN / F.sqrt(F.greatest(F.col(word_chars), F.lit(1)))
+def _in_band(log_perplexity: str, n_words: str, low: str, high: str) -> Column:
+    scatter = MARGIN / F.sqrt(F.greatest(F.col(n_words), F.lit(1)))
     return F.coalesce(F.col(log_perplexity).between(F.col(low) - scatter, F.col(high) + scatter), F.lit(False))
 
 
@@ -256,55 +374,74 @@ def bands(scored: DataFrame) -> DataFrame:
     whole = F.sum("n").over(W.partitionBy("lang"))
     bins = bins.select("lang", "bin", up_to.alias("up_to"), whole.alias("whole"))
     quartile = lambda k: F.min(F.when(4 * F.col("up_to") >= k * F.col("whole"), F.col("bin"))) / BINS
-    width = SPREAD * (F.col("q3") - F.col("q1"))
-    return (
-        bins.groupBy("lang")
-        .agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
-        .select("lang", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
+    beyond = lambda q: F.col(q) + SPREAD * (F.col(q) - F.col("q2"))
+    quartiles = bins.groupBy("lang").agg(*[quartile(k).alias(f"q{k}") for k in (1, 2, 3)])
+    return quartiles.select("lang", beyond("q1").alias("low"), beyond("q3").alias("high"))
+
+
+def steady(tables: Tables, docs: DataFrame) -> DataFrame:
+    """``docs``, or where its plan shuffles, a written table of it, whose partitions are the same each time."""
+    plan = docs._jdf.queryExecution().sparkPlan().toString()
+    return tables.keep(docs) if re.search("Exchange|Join|Aggregate|Sort|Window|Limit|Repartition|Coalesce|Sample|Cartesian", plan) else docs
+
+
+def _judged(tables: Tables, docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """All figures of all documents, with their bands and ``kept``, on a written table."""
+    docs = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text")
     )
+    model, path = fit(tables, docs.select("text"))
+    scored = tables.keep(_scored(docs, model, path).withColumn("base_failed", base_failed()))
+    limits, _ = small(bands(scored))
+    return scored.join(limits, "lang", "left").withColumn("kept", ~F.col("base_failed") & _in_band("log_perplexity", "n_words", "low", "high"))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: id, the rules' figures, ``base_failed``, ``log_perplexity``, ``kept``.
+    """One row per document: id, the rules' figures, ``base_failed``, ``log_perplexity``, ``low``, ``high``, ``kept``.
 
     A document is kept if the rules pass and its perplexity lies in its language's band.
-    Null and empty texts have no words and fail; a null language is a language of its
+    Null and empty texts have no words and fail, with a log perplexity of 0; a null language is a language of its
     own; repeated rows count as often as they occur; an empty table gives no rows;
     other columns are not read.
     """
-    scored = assessed(docs, id_col, text_col, lang_col)[0]
-    # One row per language of the data: Spark decides by its size how to join it.
-    return scored.join(bands(scored), "lang", "left").select(
-        F.col("id").alias(id_col),
-        *_FIGURES[:5],
-        "base_failed",
-        "log_perplexity",
-        "low",
-        "high",
-        (~F.col("base_failed") & _in_band("log_perplexity", "word_chars", "low", "high")).alias("kept"),
-    )
+    with Tables(docs.sparkSession) as tables:
+        judged = _judged(tables, steady(tables, docs.select(id_col, lang_col, text_col)), id_col, text_col, lang_col)
+    return judged.select(F.col("id").alias(id_col), *_FIGURES[:5], "base_failed", "log_perplexity", "low", "high", "kept")
 
 
-def assessed(docs: DataFrame, id_col: str, text_col: str, lang_col: str):
-    """The figures of all documents, written once, and the broadcast model."""
-    docs = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text")
-    )
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("text")))
-    return cut(_scored(docs, model, "text", _FIGURES, True).withColumn("base_failed", base_failed())), model
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``assess`` keeps, with all their columns.
 
+    The texts are not shuffled: each chunk reads the decisions about its rows, in their order.
+    """
+    spark = docs.sparkSession
+    with Tables(spark) as tables:
+        docs = steady(tables, docs)
+        judged = _judged(tables, docs, id_col, text_col, lang_col)
+        path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+        flags = judged.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "kept"))), lambda x: x["kept"]).alias("kept"))
+        flags.repartition("chunk").write.partitionBy("chunk").parquet(path)
+    at, chunk = docs.columns.index(text_col), CHUNK
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, with all their columns; the texts are not shuffled."""
-    scored, model = assessed(docs, id_col, text_col, lang_col)
-    names = [fresh(docs, f"{x}_") for x in _FIGURES]
-    lang, low, high = (fresh(docs, f"{x}_") for x in ("lang", "low", "high"))
-    limits, _ = small(bands(scored).select(F.col("lang").alias(lang), F.col("low").alias(low), F.col("high").alias(high)))
-    rows = _scored(docs, model, text_col, names, False)
-    good = ~base_failed(names[0], names[4]) & _in_band(names[5], names[1], low, high)
-    rows = rows.join(limits, F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == F.col(lang))
-    return rows.where(good).select(*[F.col(f"`{c}`") for c in docs.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers, number, size, own, place = Answers(path), TaskContext.get().partitionId() << 24, 0, None, 0
+        for batch in batches:
+            keep = []
+            for text in batch.column(at).to_pylist():
+                if own is None:
+                    own, place = [x for r in answers.rows(number) for x in r["kept"]], 0
+                if place >= len(own):
+                    raise RuntimeError(_CHANGED)
+                keep.append(own[place])
+                place += 1
+                size += len(text or "") + 1
+                if size >= chunk:
+                    number, size, own = number + 1, 0, None
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(docs, run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 
 
 def op10(docs: DataFrame) -> DataFrame:
+    """Per document the rules' figures and whether it is kept; see ``assess`` for awkward rows."""
     return assess(docs)

@@ -20,12 +20,11 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, shared_dir
+from .common import cut, folder_of, map_arrow, shared_dir
 
 #: Uncompressed bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME = 1 << 20
@@ -136,7 +135,7 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", frame
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+        fs, root = folder_of(path)
         fs.create_dir(root, recursive=True)
         out, name, waiting = None, "", []
 
@@ -182,7 +181,7 @@ def read(index: DataFrame, path: str) -> DataFrame:
     frames = frames.repartition(max(1, -(-n // FRAMES_PER_TASK)), "bundle", "frame_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+        fs, root = folder_of(path)
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for bundle, at, size, records in zip(*(c.to_pylist() for c in batch.columns)):

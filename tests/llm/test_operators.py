@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 from zlib import crc32
 
 import duckdb
@@ -289,12 +291,63 @@ def test_quality_figures_by_brute_force(rng):
         assert quality.rules(text) == want
 
 
-def test_model_is_a_distribution(spark):
-    import numpy as np
+def perplexities(texts):
+    """Brute force: bigrams in dictionaries, each occurrence left out of the counts, no hashes, chunks or buckets."""
+    docs = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    count, followers, kinds = Counter(), {}, {}
+    for d in docs:
+        for pair in zip(["", *d], d):
+            count[pair] += 1
+    for (v, w), n in count.items():
+        followers.setdefault(v, []).append(n)
+        kinds.setdefault(w, set()).add(v)
+    kinds = {w: len(x) for w, x in kinds.items()}
+
+    def discounts(values):
+        t = [sum(x == k for x in values) for k in (1, 2, 3, 4)]
+        if not all(t):
+            return [0.0, 0.5, 0.75, 0.9]
+        y = t[0] / (t[0] + 2 * t[1])
+        found = [0.0, 1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]]
+        return [min(max(x, 0.0), most) for x, most in zip(found, (0, 0.999, 1.999, 2.999))]
+
+    d2, d1 = discounts(count.values()), discounts(kinds.values())
+    total = sum(kinds.values())
+    spare = sum(d1[min(n, 3)] for n in kinds.values()) / total if total else 0
+    out = []
+    for d in docs:
+        log = 0.0
+        for v, w in zip(["", *d], d):
+            left, context, others = count[v, w] - 1, sum(followers[v]) - 1, kinds[w] - (count[v, w] == 1)
+            lower = max(others - d1[min(others, 3)], 0) / total + spare / len(kinds)
+            if context:
+                back = sum(d2[min(n, 3)] for n in followers[v]) / sum(followers[v])
+                log += math.log(max(left - d2[min(left, 3)], 0) / context + back * max(lower, 1e-12))
+            else:
+                log += math.log(max(lower, 1e-12))
+        out.append(-log / max(1, len(d)))
+    return out
+
 
-    model = quality.fit(spark.read.parquet(f"{DATA}/documents.parquet").select("text"))
-    for context in (0, (3 << 18) | (4 << 12) | (5 << 6), (63 << 18) | (62 << 12) | (9 << 6)):
-        assert abs(np.exp(model.logs(np.arange(64) + context).astype(float)).sum() - 1) < 1e-4
+@pytest.mark.parametrize("chunk, bucket", [(1 << 23, 16 << 20), (100, 50)])
+def test_perplexity_by_brute_force(spark, rng, monkeypatch, chunk, bucket):
+    monkeypatch.setattr(quality, "CHUNK", chunk)
+    monkeypatch.setattr(quality, "BUCKET_BYTES", bucket)
+    texts = [" ".join(rng.choices(["a", "B", "b", "cé", "d", "e", "f" * rng.randint(1, 9)], k=rng.randint(0, 90))) for _ in range(60)] + [None, "", "alone"]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3).sortWithinPartitions("doc_id")
+    got = {r.doc_id: r.log_perplexity for r in quality.op10(docs).collect()}
+    for k, want in enumerate(perplexities(texts)):
+        assert got[k] == pytest.approx(want, abs=2e-6)
+    kept = {r.doc_id for r in quality.op10(docs).collect() if r.kept}
+    assert 0 < len(kept) < len(texts) and {r.doc_id for r in quality.keep_good(docs).collect()} == kept
+
+
+def test_perplexity_grows_with_what_is_odd(spark):
+    plain = "the cat sat on the mat and the dog sat on the rug while the cat and the dog slept on the mat " * 3
+    odd = " ".join(f"qx{k}z" for k in range(60))
+    rows = [(k, plain + ("again " * (k % 5)), "en") for k in range(40)] + [(99, odd, "en")]
+    got = {r.doc_id: (r.kept, r.log_perplexity) for r in quality.op10(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[99][0] and got[99][1] > 2 * max(p for k, (_, p) in got.items() if k != 99)
 
 
 def test_toxic_words_are_learned(spark, rng):
