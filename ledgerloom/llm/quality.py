@@ -34,7 +34,7 @@ from .common import Tables, folder_of, map_arrow, shared_dir, small
 from .hashing import distinct, scramble, text_hashes, unscramble
 
 #: Characters of text that make a chunk; a longer text is a chunk of its own.
-CHUNK = 1 << 23
+CHUNK = 1 << 25
 #: Bytes of text for each bucket of the model.
 BUCKET_BYTES = 16 << 20
 #: A language's band extends beyond each quartile by so many times that quartile's distance from the median.
@@ -57,11 +57,11 @@ _TYPES = [pa.int8(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
 def word_ids(text: str) -> np.ndarray:
     """32-bit hashes of the words of a text, none 0, which stands for its start."""
-    return np.maximum(text_hashes(text.encode("utf-8", "replace"), cased=True) >> np.uint64(32), np.uint64(1))
+    return np.maximum(text_hashes(text.encode("utf-8", "replace"), cased=True) >> np.uint64(32), np.uint64(1)).astype(np.uint32)
 
 
 class Chunk:
-    """Documents that ask together: the words of each, and the hashes of all their bigrams."""
+    """Documents that ask together: the words of each; hashes of their bigrams are made as they are needed."""
 
     def __init__(self, number: int) -> None:
         self.number, self.docs, self.size = number, [], 0
@@ -72,14 +72,41 @@ class Chunk:
 
     def close(self) -> Chunk:
         self.sizes = np.array([len(d) for d in self.docs], np.int64)
-        self.words = np.concatenate([np.empty(0, np.uint64), *self.docs])
-        self.before = np.zeros(len(self.words), np.uint64)
-        self.before[1:] = self.words[:-1]
-        self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
-        self.pairs = scramble(self.before << np.uint64(32) | self.words)
-        self.check = int(np.bitwise_xor.reduce(self.pairs, initial=np.uint64(len(self.docs))).view(np.int64))
+        self.words = np.concatenate([np.empty(0, np.uint32), *self.docs])
+        self.docs = []
+        self.starts = np.zeros(len(self.words), bool)
+        self.starts[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = True
+        pairs = self.pairs()
+        self.check = int(np.bitwise_xor.reduce(pairs, initial=np.uint64(len(self.sizes))).view(np.int64))
         return self
 
+    def pairs(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Hashes of the bigrams that end at the words from ``first`` to ``last``."""
+        words, starts = self.words[first:last], self.starts[first:last]
+        before = np.zeros(len(words), np.uint64)
+        before[1:] = words[:-1]
+        if first and len(words):
+            before[0] = self.words[first - 1]
+        before[starts] = 0
+        return scramble(before << np.uint64(32) | words)
+
+    def distinct_words(self) -> np.ndarray:
+        return distinct(np.append(self.words, np.uint32(0)))
+
+
+def packed_sorted(values: np.ndarray, floor: int) -> bytes:
+    """Sorted numbers of 64 bits from ``floor`` on, as steps of as many bytes as the largest needs; that number stands first."""
+    steps = np.diff(values, prepend=np.uint64(floor)).astype("<u8")
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpacked_sorted(blob: bytes, floor: int) -> np.ndarray:
+    width = blob[0]
+    steps = np.zeros(((len(blob) - 1) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(floor)
+
 
 def chunks(texts: Iterator[str | None], chunk: int) -> Iterator[tuple[int, Chunk | None]]:
     """Numbers the chunk of each text; with the last text of a chunk comes the chunk itself.
@@ -122,10 +149,10 @@ def _ask(bits: int, chunk: int):
         for _, own in chunks((x for batch in batches for x in batch.column(0).to_pylist()), chunk):
             if own is None:
                 continue
-            pairs, n = _counted(own.pairs)
+            pairs, n = _counted(own.pairs())
             n = n.astype("<u4")
-            rows = [(PAIRS, k, own.number, pairs[a:b].tobytes(), n[a:b].tobytes()) for k, a, b in _slices(pairs, bits, 64)]
-            words = distinct(np.append(own.words, np.uint64(0)))
+            rows = [(PAIRS, k, own.number, packed_sorted(pairs[a:b], k << (64 - bits)), n[a:b].tobytes()) for k, a, b in _slices(pairs, bits, 64)]
+            words = own.distinct_words()
             rows += [(WORDS, k, own.number, words[a:b].astype("<u4").tobytes(), b"") for k, a, b in _slices(words, bits, 32)]
             rows.append((CHECK, 0, own.number, b"", np.array([own.check], "<i8").tobytes()))
             yield _packed(rows)
@@ -162,7 +189,9 @@ def _total_pairs(bits: int):
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         if kind != PAIRS:
             return table
-        keys, sizes = _joined(table.column("keys"), "<u8")
+        asked = [unpacked_sorted(x, bucket << (64 - bits)) for x in table.column("keys").to_pylist()]
+        keys, sizes = np.concatenate(asked), np.array([len(x) for x in asked])
+        del asked
         counts = _joined(table.column("data"), "<u4")[0].astype(np.int64)
         order, starts, found = _grouped(keys)
         totals = _sums(counts[order], starts)
@@ -238,24 +267,26 @@ class Model:
 
     def score(self, own: Chunk, totals: np.ndarray, figures: np.ndarray) -> np.ndarray:
         """Mean log perplexity of each document of a chunk, by the answers to it; 0 without words."""
-        pairs, words = distinct(own.pairs), distinct(np.append(own.words, np.uint64(0)))
+        pairs, words = distinct(own.pairs()), own.distinct_words()
         if (len(pairs), len(words)) != (len(totals), len(figures)):
             raise RuntimeError(_CHANGED)
-        place = np.searchsorted(words, own.words)
-        before = np.zeros(len(place), np.int64)
-        before[1:] = place[:-1]
-        before[own.before == 0] = 0
-        log = np.concatenate([
-            self.logs(totals[np.searchsorted(pairs, own.pairs[k : k + _STEP])].astype(np.int64), figures[before[k : k + _STEP]], figures[place[k : k + _STEP], 4])
-            for k in range(0, max(1, len(place)), _STEP)
-        ])
-        run = np.concatenate([np.zeros(1), np.cumsum(log)])
+        run, last = np.zeros(len(own.words) + 1), 0
+        for k in range(0, len(own.words), _STEP):
+            end = min(k + _STEP, len(own.words))
+            place = np.searchsorted(words, own.words[k:end])
+            before = np.append(last, place[:-1])
+            last = place[-1]
+            before[own.starts[k:end]] = 0
+            count = totals[np.searchsorted(pairs, own.pairs(k, end))].astype(np.int64)
+            run[k + 1 : end + 1] = self.logs(count, figures[before], figures[place, 4])
+        np.cumsum(run, out=run)
         ends = np.cumsum(own.sizes)
         return -(run[ends] - run[ends - own.sizes]) / np.maximum(own.sizes, 1)
 
 
 _CHANGED = "the documents came in other partitions than before; write them to a table first"
-_STEP = 1 << 20
+#: Words that are scored at once.
+_STEP = 1 << 19
 
 
 class Answers:

@@ -9,11 +9,12 @@ from collections import Counter
 from zlib import crc32
 
 import duckdb
-import pytest
+import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
-from ledgerloom.llm import bpe, jaccard, licenses, lines, quality, secrets, sharding, toxicity, warc, winnowing
+from ledgerloom.llm import bpe, hashing, jaccard, licenses, lines, quality, secrets, sharding, toxicity, warc, winnowing
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -346,8 +347,18 @@ def test_perplexity_grows_with_what_is_odd(spark):
     plain = "the cat sat on the mat and the dog sat on the rug while the cat and the dog slept on the mat " * 3
     odd = " ".join(f"qx{k}z" for k in range(60))
     rows = [(k, plain + ("again " * (k % 5)), "en") for k in range(40)] + [(99, odd, "en")]
-    got = {r.doc_id: (r.kept, r.log_perplexity) for r in quality.op10(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert not got[99][0] and got[99][1] > 2 * max(p for k, (_, p) in got.items() if k != 99)
+    got = {r.doc_id: r.log_perplexity for r in quality.op10(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[99] > 2 * max(p for k, p in got.items() if k != 99)
+
+
+def test_sorted_hashes_are_packed(rng):
+    for _ in range(200):
+        floor = rng.randrange(16) << 60
+        values = sorted({floor + rng.randrange(1 << rng.choice([3, 20, 60])) for _ in range(rng.randint(1, 50))})
+        got = quality.unpacked_sorted(quality.packed_sorted(np.array(values, np.uint64), floor), floor)
+        assert got.tolist() == values
+    x = np.array([rng.randrange(1 << 64) for _ in range(100)], np.uint64)
+    assert (hashing.unscramble(hashing.scramble(x)) == x).all()
 
 
 def test_toxic_words_are_learned(spark, rng):
