@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from .common import Tables, folder_of, map_arrow, shared_dir, small
 from .hashing import distinct, scramble, text_hashes, unscramble
 
 #: Characters of text that make a chunk; a longer text is a chunk of its own.
-CHUNK = 1 << 25
+CHUNK = 1 << 24
 #: Bytes of text for each bucket of the model.
 BUCKET_BYTES = 16 << 20
 #: A language's band extends beyond each quartile by so many times that quartile's distance from the median.
@@ -94,18 +95,25 @@ class Chunk:
         return distinct(np.append(self.words, np.uint32(0)))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers column by column and byte by byte, highest bytes last, compressed: small numbers take little."""
+    planes = np.ascontiguousarray(values.astype("<i8").reshape(len(values), -1).T).view(np.uint8).reshape(-1, 8)
+    return zstandard.compress(np.ascontiguousarray(planes.T).tobytes(), 1)
+
+
+def unpacked(blob: bytes, columns: int = 1) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
+    values = np.ascontiguousarray(planes.T).view("<i8").reshape(columns, -1)
+    return np.ascontiguousarray(values.T) if columns > 1 else values[0]
+
+
 def packed_sorted(values: np.ndarray, floor: int) -> bytes:
-    """Sorted numbers of 64 bits from ``floor`` on, as steps of as many bytes as the largest needs; that number stands first."""
-    steps = np.diff(values, prepend=np.uint64(floor)).astype("<u8")
-    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """Sorted numbers of 64 bits from ``floor`` on, as steps."""
+    return packed(np.diff(values, prepend=np.uint64(floor)).view(np.int64))
 
 
 def unpacked_sorted(blob: bytes, floor: int) -> np.ndarray:
-    width = blob[0]
-    steps = np.zeros(((len(blob) - 1) // width, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(floor)
+    return np.cumsum(unpacked(blob).view(np.uint64), dtype=np.uint64) + np.uint64(floor)
 
 
 def chunks(texts: Iterator[str | None], chunk: int) -> Iterator[tuple[int, Chunk | None]]:
@@ -137,7 +145,8 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.sort(x)
+    """Distinct values in order, and how often each occurs; sorts ``x`` itself."""
+    x.sort()
     starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
     return x[starts], np.diff(np.append(starts, len(x)))
 
@@ -150,22 +159,15 @@ def _ask(bits: int, chunk: int):
             if own is None:
                 continue
             pairs, n = _counted(own.pairs())
-            n = n.astype("<u4")
-            rows = [(PAIRS, k, own.number, packed_sorted(pairs[a:b], k << (64 - bits)), n[a:b].tobytes()) for k, a, b in _slices(pairs, bits, 64)]
+            rows = [(PAIRS, k, own.number, packed_sorted(pairs[a:b], k << (64 - bits)), packed(n[a:b])) for k, a, b in _slices(pairs, bits, 64)]
             words = own.distinct_words()
-            rows += [(WORDS, k, own.number, words[a:b].astype("<u4").tobytes(), b"") for k, a, b in _slices(words, bits, 32)]
-            rows.append((CHECK, 0, own.number, b"", np.array([own.check], "<i8").tobytes()))
+            rows += [(WORDS, k, own.number, packed_sorted(words[a:b].astype(np.uint64), k << (32 - bits)), None) for k, a, b in _slices(words, bits, 32)]
+            rows.append((CHECK, 0, own.number, None, packed(np.array([own.check]))))
             yield _packed(rows)
 
     return run
 
 
-def _joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """All blobs of a column as one array, and their lengths."""
-    blobs = [x or b"" for x in column.to_pylist()]
-    return np.frombuffer(b"".join(blobs), kind), np.array([len(b) // np.dtype(kind).itemsize for b in blobs], np.int64)
-
-
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order that sorts, starts of equal runs in it, and the distinct keys."""
     order = np.argsort(keys, kind="stable")
@@ -192,13 +194,13 @@ def _total_pairs(bits: int):
         asked = [unpacked_sorted(x, bucket << (64 - bits)) for x in table.column("keys").to_pylist()]
         keys, sizes = np.concatenate(asked), np.array([len(x) for x in asked])
         del asked
-        counts = _joined(table.column("data"), "<u4")[0].astype(np.int64)
+        counts = np.concatenate([unpacked(x) for x in table.column("data").to_pylist()])
         order, starts, found = _grouped(keys)
         totals = _sums(counts[order], starts)
-        answer = np.empty(len(keys), "<u4")
-        answer[order] = np.minimum(np.repeat(totals, np.diff(np.append(starts, len(keys)))), 0xFFFFFFFF)
+        answer = np.empty(len(keys), np.int64)
+        answer[order] = np.repeat(totals, np.diff(np.append(starts, len(keys))))
         ends = np.cumsum(sizes)
-        rows = [(PAIRS, bucket, c, None, answer[e - n : e].tobytes()) for c, e, n in zip(table.column("chunk").to_pylist(), ends, sizes)]
+        rows = [(PAIRS, bucket, c, None, packed(answer[e - n : e])) for c, e, n in zip(table.column("chunk").to_pylist(), ends, sizes)]
         both = unscramble(found)
         before, word = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
         figures = np.zeros((2 * len(found), 5), np.int64)
@@ -208,28 +210,36 @@ def _total_pairs(bits: int):
         figures[len(found) :, 4] = 1
         order, starts, names = _grouped(np.concatenate([before, word]))
         figures = np.add.reduceat(figures[order], starts) if len(starts) else figures[:0]
-        rows += [(PARTS, k, 0, names[a:b].astype("<u4").tobytes(), figures[a:b].astype("<i8").tobytes()) for k, a, b in _slices(names, bits, 32)]
-        rows.append((SCALARS, 0, 0, None, np.array([*_tally(totals), len(found), 0], "<i8").tobytes()))
+        rows += [(PARTS, k, 0, packed_sorted(names[a:b], k << (32 - bits)), packed(figures[a:b])) for k, a, b in _slices(names, bits, 32)]
+        rows.append((SCALARS, 0, 0, None, packed(np.array([*_tally(totals), len(found), 0]))))
         return pa.Table.from_batches([_packed(rows)])
 
     return run
 
 
-def _total_words(table: pa.Table) -> pa.Table:
+def _total_words(bits: int):
     """One bucket of words: sums the parts of their figures, and answers every chunk."""
-    kinds = np.array(table.column("kind").to_pylist())
-    parts, asked = table.filter(pa.array(kinds == PARTS)), table.filter(pa.array(kinds == WORDS))
-    names = _joined(parts.column("keys"), "<u4")[0]
-    order, starts, names = _grouped(names)
-    figures = _joined(parts.column("data"), "<i8")[0].reshape(-1, 5)
-    figures = np.add.reduceat(figures[order], starts) if len(starts) else figures[:0]
-    rows = []
-    for chunk, blob in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist()):
-        answer = figures[np.searchsorted(names, np.frombuffer(blob, "<u4"))]
-        rows.append((WORDS, table.column("bucket")[0].as_py(), chunk, None, answer.astype("<i8").tobytes()))
-    kinds_of = figures[:, 4]
-    rows.append((SCALARS, 1, 0, None, np.array([*_tally(kinds_of), np.count_nonzero(kinds_of), kinds_of.sum()], "<i8").tobytes()))
-    return pa.Table.from_batches([_packed(rows)])
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        kinds = np.array(table.column("kind").to_pylist())
+        parts, asked = table.filter(pa.array(kinds == PARTS)), table.filter(pa.array(kinds == WORDS))
+        names = [unpacked_sorted(x, bucket << (32 - bits)) for x in parts.column("keys").to_pylist()]
+        figures = [unpacked(x, 5) for x in parts.column("data").to_pylist()]
+        order, starts, names = _grouped(np.concatenate([np.empty(0, np.uint64), *names]))
+        figures = np.concatenate([np.empty((0, 5), np.int64), *figures])
+        figures = np.add.reduceat(figures[order], starts) if len(starts) else figures
+        rows = []
+        for chunk, blob in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist()):
+            at = np.searchsorted(names, unpacked_sorted(blob, bucket << (32 - bits)))
+            # A word that only starts nothing and follows nothing is in no bigram: the start of no text.
+            answer = np.concatenate([figures, np.zeros((1, 5), np.int64)])[at]
+            rows.append((WORDS, bucket, chunk, None, packed(answer)))
+        n = figures[:, 4]
+        rows.append((SCALARS, 1, 0, None, packed(np.array([*_tally(n), np.count_nonzero(n), n.sum()]))))
+        return pa.Table.from_batches([_packed(rows)])
+
+    return run
 
 
 def _discounts(tally: list[int]) -> np.ndarray:
@@ -267,7 +277,7 @@ class Model:
 
     def score(self, own: Chunk, totals: np.ndarray, figures: np.ndarray) -> np.ndarray:
         """Mean log perplexity of each document of a chunk, by the answers to it; 0 without words."""
-        pairs, words = distinct(own.pairs()), own.distinct_words()
+        pairs, words = _counted(own.pairs())[0], own.distinct_words()
         if (len(pairs), len(words)) != (len(totals), len(figures)):
             raise RuntimeError(_CHANGED)
         run, last = np.zeros(len(own.words) + 1), 0
@@ -297,10 +307,11 @@ class Answers:
 
     def of(self, own: Chunk) -> tuple[np.ndarray, np.ndarray]:
         rows = self.rows(own.number)
-        blob = lambda kind: b"".join(r["data"] for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"]))
-        if int(np.frombuffer(blob(CHECK), "<i8")[0]) != own.check:
+        blobs = lambda kind: [r["data"] for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])]
+        if int(unpacked(blobs(CHECK)[0])[0]) != own.check:
             raise RuntimeError(_CHANGED)
-        return np.frombuffer(blob(PAIRS), "<u4"), np.frombuffer(blob(WORDS), "<i8").reshape(-1, 5)
+        totals = np.concatenate([np.empty(0, np.uint32), *[np.minimum(unpacked(x), 0xFFFFFFFF).astype(np.uint32) for x in blobs(PAIRS)]])
+        return totals, np.concatenate([np.empty((0, 5), np.int64), *[unpacked(x, 5) for x in blobs(WORDS)]])
 
     def rows(self, number: int) -> list[dict]:
         place = f"{self.root}/chunk={number}"
@@ -316,7 +327,7 @@ def fit(tables: Tables, texts: DataFrame) -> tuple[Model, str]:
     bits = max(3, int(total // BUCKET_BYTES).bit_length())
     asked = map_arrow(texts, _ask(bits, CHUNK), _MESSAGE)
     first = tables.write(asked.groupBy("kind", "bucket").applyInArrow(_total_pairs(bits), _MESSAGE))
-    words = first.where(F.col("kind").isin(WORDS, PARTS)).groupBy("bucket").applyInArrow(_total_words, _MESSAGE)
+    words = first.where(F.col("kind").isin(WORDS, PARTS)).groupBy("bucket").applyInArrow(_total_words(bits), _MESSAGE)
     second = tables.write(words)
     both = first.where(F.col("kind").isin(PAIRS, CHECK)).unionByName(second.where(F.col("kind") == WORDS)).select("kind", "bucket", "chunk", "data")
     path = tables.folder()
@@ -324,7 +335,7 @@ def fit(tables: Tables, texts: DataFrame) -> tuple[Model, str]:
     sums = [[0] * 6, [0] * 6]
     # A row of six numbers for each bucket.
     for r in first.unionByName(second).where(F.col("kind") == SCALARS).select("bucket", "data").toLocalIterator():
-        sums[r["bucket"]] = [a + int(b) for a, b in zip(sums[r["bucket"]], np.frombuffer(r["data"], "<i8"))]
+        sums[r["bucket"]] = [a + int(b) for a, b in zip(sums[r["bucket"]], unpacked(r["data"]))]
     tables.drop(first)
     tables.drop(second)
     return Model(*sums), path
