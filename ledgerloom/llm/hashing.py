@@ -85,11 +85,20 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def unscramble(x: np.ndarray) -> np.ndarray:
-    """The inverse of ``scramble``, which maps no two numbers to one."""
+def mix(x: np.ndarray, bits: int) -> np.ndarray:
+    """``scramble`` within ``bits`` bits; no two numbers become one."""
+    low = np.uint64((1 << bits) - 1)
+    x = (x ^ (x >> np.uint64(30))) * _A & low
+    x = (x ^ (x >> np.uint64(27))) * _B & low
+    return x ^ (x >> np.uint64(31))
+
+
+def unmix(x: np.ndarray, bits: int) -> np.ndarray:
+    """The inverse of ``mix``."""
+    low = np.uint64((1 << bits) - 1)
     for shift, factor in ((31, _B), (27, _A)):
         x = x ^ (x >> np.uint64(shift)) ^ (x >> np.uint64(2 * shift))
-        x = x * np.uint64(pow(int(factor), -1, 1 << 64))
+        x = x * np.uint64(pow(int(factor), -1, 1 << bits)) & low
     return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import Tables, folder_of, map_arrow, shared_dir, small
-from .hashing import distinct, scramble, text_hashes, unscramble
+from .hashing import distinct, mix, text_hashes, unmix
 
 #: Characters of text that make a chunk; a longer text is a chunk of its own.
 CHUNK = 1 << 24
@@ -42,6 +42,8 @@ BUCKET_BYTES = 16 << 20
 SPREAD = 5.0
 #: Further width in nats, divided by the root of a document's words: means of short texts scatter more.
 MARGIN = 2.0
+#: Bits of a word's hash; a bigram has twice as many.
+WORD_BITS = 30
 #: Histogram bins per nat.
 BINS = 1000
 MIN_WORDS = 50
@@ -57,8 +59,8 @@ _TYPES = [pa.int8(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
 
 def word_ids(text: str) -> np.ndarray:
-    """32-bit hashes of the words of a text, none 0, which stands for its start."""
-    return np.maximum(text_hashes(text.encode("utf-8", "replace"), cased=True) >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+    """Hashes of the words of a text, none 0, which stands for its start."""
+    return np.maximum(text_hashes(text.encode("utf-8", "replace"), cased=True) >> np.uint64(64 - WORD_BITS), np.uint64(1)).astype(np.uint32)
 
 
 class Chunk:
@@ -89,7 +91,7 @@ class Chunk:
         if first and len(words):
             before[0] = self.words[first - 1]
         before[starts] = 0
-        return scramble(before << np.uint64(32) | words)
+        return mix(before << np.uint64(WORD_BITS) | words, 2 * WORD_BITS)
 
     def distinct_words(self) -> np.ndarray:
         return distinct(np.append(self.words, np.uint32(0)))
@@ -159,9 +161,9 @@ def _ask(bits: int, chunk: int):
             if own is None:
                 continue
             pairs, n = _counted(own.pairs())
-            rows = [(PAIRS, k, own.number, packed_sorted(pairs[a:b], k << (64 - bits)), packed(n[a:b])) for k, a, b in _slices(pairs, bits, 64)]
+            rows = [(PAIRS, k, own.number, packed_sorted(pairs[a:b], k << (2 * WORD_BITS - bits)), packed(n[a:b])) for k, a, b in _slices(pairs, bits, 2 * WORD_BITS)]
             words = own.distinct_words()
-            rows += [(WORDS, k, own.number, packed_sorted(words[a:b].astype(np.uint64), k << (32 - bits)), None) for k, a, b in _slices(words, bits, 32)]
+            rows += [(WORDS, k, own.number, packed_sorted(words[a:b].astype(np.uint64), k << (WORD_BITS - bits)), None) for k, a, b in _slices(words, bits, WORD_BITS)]
             rows.append((CHECK, 0, own.number, None, packed(np.array([own.check]))))
             yield _packed(rows)
 
@@ -191,7 +193,7 @@ def _total_pairs(bits: int):
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         if kind != PAIRS:
             return table
-        asked = [unpacked_sorted(x, bucket << (64 - bits)) for x in table.column("keys").to_pylist()]
+        asked = [unpacked_sorted(x, bucket << (2 * WORD_BITS - bits)) for x in table.column("keys").to_pylist()]
         keys, sizes = np.concatenate(asked), np.array([len(x) for x in asked])
         del asked
         counts = np.concatenate([unpacked(x) for x in table.column("data").to_pylist()])
@@ -201,8 +203,8 @@ def _total_pairs(bits: int):
         answer[order] = np.repeat(totals, np.diff(np.append(starts, len(keys))))
         ends = np.cumsum(sizes)
         rows = [(PAIRS, bucket, c, None, packed(answer[e - n : e])) for c, e, n in zip(table.column("chunk").to_pylist(), ends, sizes)]
-        both = unscramble(found)
-        before, word = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+        both = unmix(found, 2 * WORD_BITS)
+        before, word = both >> np.uint64(WORD_BITS), both & np.uint64((1 << WORD_BITS) - 1)
         figures = np.zeros((2 * len(found), 5), np.int64)
         figures[: len(found), 0] = totals
         for k in (1, 2, 3):
@@ -210,7 +212,7 @@ def _total_pairs(bits: int):
         figures[len(found) :, 4] = 1
         order, starts, names = _grouped(np.concatenate([before, word]))
         figures = np.add.reduceat(figures[order], starts) if len(starts) else figures[:0]
-        rows += [(PARTS, k, 0, packed_sorted(names[a:b], k << (32 - bits)), packed(figures[a:b])) for k, a, b in _slices(names, bits, 32)]
+        rows += [(PARTS, k, 0, packed_sorted(names[a:b], k << (WORD_BITS - bits)), packed(figures[a:b])) for k, a, b in _slices(names, bits, WORD_BITS)]
         rows.append((SCALARS, 0, 0, None, packed(np.array([*_tally(totals), len(found), 0]))))
         return pa.Table.from_batches([_packed(rows)])
 
@@ -224,14 +226,14 @@ def _total_words(bits: int):
         bucket = table.column("bucket")[0].as_py()
         kinds = np.array(table.column("kind").to_pylist())
         parts, asked = table.filter(pa.array(kinds == PARTS)), table.filter(pa.array(kinds == WORDS))
-        names = [unpacked_sorted(x, bucket << (32 - bits)) for x in parts.column("keys").to_pylist()]
+        names = [unpacked_sorted(x, bucket << (WORD_BITS - bits)) for x in parts.column("keys").to_pylist()]
         figures = [unpacked(x, 5) for x in parts.column("data").to_pylist()]
         order, starts, names = _grouped(np.concatenate([np.empty(0, np.uint64), *names]))
         figures = np.concatenate([np.empty((0, 5), np.int64), *figures])
         figures = np.add.reduceat(figures[order], starts) if len(starts) else figures
         rows = []
         for chunk, blob in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist()):
-            at = np.searchsorted(names, unpacked_sorted(blob, bucket << (32 - bits)))
+            at = np.searchsorted(names, unpacked_sorted(blob, bucket << (WORD_BITS - bits)))
             # A word that only starts nothing and follows nothing is in no bigram: the start of no text.
             answer = np.concatenate([figures, np.zeros((1, 5), np.int64)])[at]
             rows.append((WORDS, bucket, chunk, None, packed(answer)))
