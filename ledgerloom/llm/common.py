@@ -16,8 +16,9 @@ from ..shipping import ship
 BROADCAST_ROWS = 200_000
 
 
-#: Spark removes the shuffle files of a query when the query ends.
-_SHED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while tables are written: Spark removes the shuffle files of a query when the query ends, and
+#: Python workers get few rows at once, as texts may be long.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,15 +49,17 @@ class Tables:
         self.spark, self.paths = spark, {}
 
     def __enter__(self) -> Tables:
-        self.before = self.spark.conf.get(_SHED, None)
-        self.spark.conf.set(_SHED, "true")
+        self.before = {k: self.spark.conf.get(k, None) for k in _SETTINGS}
+        for k, v in _SETTINGS.items():
+            self.spark.conf.set(k, v)
         return self
 
     def __exit__(self, *_) -> None:
-        if self.before is None:
-            self.spark.conf.unset(_SHED)
-        else:
-            self.spark.conf.set(_SHED, self.before)
+        for k, v in self.before.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
         for path in self.paths.values():
             delete(self.spark, path)
         self.paths.clear()
