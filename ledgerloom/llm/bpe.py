@@ -26,7 +26,7 @@ from .common import map_arrow
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Slices that a worker's cache holds before it starts afresh.
-CACHE = 1 << 19
+CACHE = 1 << 18
 #: Slices longer than this are merged with a heap and not cached.
 LONG = 128
 

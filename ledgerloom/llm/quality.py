@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import Tables, folder_of, map_arrow, shared_dir, small
+from .common import Tables, folder_of, map_arrow, release, shared_dir, small
 from .hashing import distinct, mix, text_hashes, unmix
 
 #: Characters of text that make a chunk; a longer text is a chunk of its own.
@@ -214,6 +214,8 @@ def _total_pairs(bits: int):
         figures = np.add.reduceat(figures[order], starts) if len(starts) else figures[:0]
         rows += [(PARTS, k, 0, packed_sorted(names[a:b], k << (WORD_BITS - bits)), packed(figures[a:b])) for k, a, b in _slices(names, bits, WORD_BITS)]
         rows.append((SCALARS, 0, 0, None, packed(np.array([*_tally(totals), len(found), 0]))))
+        del keys, counts, order, answer, both, before, word, figures, names
+        release()
         return pa.Table.from_batches([_packed(rows)])
 
     return run

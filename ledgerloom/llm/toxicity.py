@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import Tables, map_arrow
 
 #: Labelled rows of either class that the models are fitted on, at most, taken by a hash of the id.
 SAMPLE = 10_000
-#: Stems used as features, and the best of them used as voters.
-STEMS, STEM_VOTERS = 512, 64
+#: Stems are features if toxic rows have them so many times as often, at a level that lets about so many pass by
+#: accident, whatever the number of stems looked at; the best of them are voters too.
+RATIO, ACCIDENTS, STEM_VOTERS = 4.0, 100, 64
 #: Stems are these many first characters of a word; 0 is the whole word.
 PREFIXES = (0, 4, 5, 6)
 THRESHOLD = 0.3
@@ -53,7 +54,7 @@ def prefixes(word: str) -> list[str]:
 
 def patterns(text: str) -> list[bool]:
     low = text.lower()
-    letters = sum(map(str.isalpha, text[:2000])) if text.isascii() and text.isupper() else 0
+    letters = sum(map(str.isalpha, text)) if text.isupper() else 0
     return [bool(_ADDRESS.search(low)), bool(_MASKED.search(low)), letters > 20, text.count("!") * 20 > len(text) > 0]
 
 
@@ -135,7 +136,14 @@ def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, penalty: flo
     n, k = x.shape
     w, b, v, c = np.zeros(k), 0.0, np.zeros(k), 0.0
     total = weight.sum()
-    step = 4.0 / (max(1.0, float((x**2).sum(1).max())) + 1)
+    # The curvature is at most a quarter of the largest eigenvalue of the weighted products of features.
+    u, size = np.ones(k + 1), 1.0
+    for _ in range(20):
+        y = weight * (x @ u[:k] + u[k]) / total
+        u = np.append(x.T @ y, y.sum())
+        size = float(np.linalg.norm(u))
+        u = u / max(size, 1e-12)
+    step = 1 / (0.25 * 1.2 * size + penalty / n + 1e-9)
     for t in range(rounds):
         g = weight * (1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30))) - target) / total
         new, bias = v - step * (x.T @ g + penalty * v / n), c - step * g.sum()
@@ -149,8 +157,8 @@ def held_out(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string")) % 4 == 2
 
 
-def _mine(sample: DataFrame, counts: tuple[int, int]) -> list[str]:
-    """Stems by the strength of their tie to toxic labels; counted by Spark."""
+def _mine(tables: Tables, sample: DataFrame, counts: tuple[int, int]) -> list[str]:
+    """Stems by the strength of their tie to toxic labels; counted by Spark, all that pass the test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -173,11 +181,15 @@ def _mine(sample: DataFrame, counts: tuple[int, int]) -> list[str]:
 
     clean, toxic = counts
     found = map_arrow(sample.select("toxic", "text"), run, "stem string, clean long, toxic long")
-    found = found.groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = tables.write(found.groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     rate = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
-    score = F.col("toxic") * F.log(rate)
-    found = found.where(F.col("toxic") >= 2).withColumn("score", score).where((rate > 4) & (F.col("score") > 4))
-    return [r[0] for r in found.orderBy(F.desc("score"), "stem").limit(STEMS).collect()]
+    # Twice the log likelihood ratio of two rates against one, at a level divided by the number of stems.
+    total, both = clean + toxic, F.col("clean") + F.col("toxic")
+    part = lambda x, mean: F.when(x > 0, x * F.log(x / mean)).otherwise(0.0)
+    cells = [part(F.col(c), both * n / total) + part(n - F.col(c), (total - both) * n / total) for c, n in (("clean", clean), ("toxic", toxic))]
+    least = 2 * float(np.log(max(1, found.count()) / ACCIDENTS))
+    chosen = found.where((rate > RATIO) & (2 * (cells[0] + cells[1]) > least)).select("stem", (F.col("toxic") * F.log(rate)).alias("score"))
+    return [r["stem"] for r in sorted(chosen.collect(), key=lambda r: (-r["score"], r["stem"]))]  # each is in several of the sample's toxic rows
 
 
 @dataclass
@@ -195,49 +207,57 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer:
     """Fits label model and classifier on at most ``per_class`` labelled rows of either class.
 
-    Rows whose id is held out are never read; of several labels of one id the largest counts;
-    null labels and ids are left out. Without labels of both classes the lexicon alone scores.
+    Rows whose id is held out are never read; of several labels of one id the largest counts, and of
+    several texts the least; null labels and ids are left out; other columns are not read. Without labels of both
+    classes, or in an empty table, the lexicon alone scores.
     """
     spark = docs.sparkSession
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(~held_out())
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(~held_out())
     usable = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
     n = (counts.get(0, 0), counts.get(1, 0))
+    alone = Features([])
+    unfitted = Scorer(alone, np.concatenate([np.full(alone.patterns_at, 3.0), np.full(len(PATTERNS), 0.5)]), -3.0)
     if not all(n):
-        features = Features([])
-        weights = np.concatenate([np.full(features.patterns_at, 3.0), np.full(len(PATTERNS), 0.5)])
-        return Scorer(features, weights, -3.0)
-    picked = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    ids = picked[0].union(picked[1]).collect()  # at most 2 * per_class rows
-    ids = F.broadcast(spark.createDataFrame(ids, "id long, toxic int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(ids, texts.doc_id == ids.id).select("id", "toxic", "text")
-    used = tuple(min(per_class, x) for x in n)
-    features = Features(_mine(sample, used))
-    shared = spark.sparkContext.broadcast(features)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
-        for batch in batches:
-            found = [shared.value.of(t or "", cache) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "toxic", "found"])
-
-    rows = map_arrow(sample, run, "id long, toxic int, found array<int>").orderBy("id", "found").collect()
-    if not rows:
-        return fit(docs.limit(0), labels.limit(0))
+        return unfitted
+    with Tables(spark) as tables:
+        picked = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+        ids = tables.write(picked[0].union(picked[1]).select(F.col("doc_id").alias("id"), "toxic"))  # at most 2 * per_class rows
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        sample = texts.join(F.broadcast(ids), texts.doc_id == ids.id).groupBy("id", "toxic").agg(F.min("text").alias("text"))
+        sample = tables.write(sample)
+        used = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
+        used = (used.get(0, 0), used.get(1, 0))
+        if not all(used):
+            return unfitted
+        features = Features(_mine(tables, sample, used))
+        shared = spark.sparkContext.broadcast(features)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cache: dict = {}
+            for batch in batches:
+                found = [shared.value.of(t or "", cache) for t in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "toxic", "found"])
+
+        rows = map_arrow(sample, run, "id long, toxic int, found array<int>").orderBy("id").collect()
     x = np.zeros((len(rows), features.size), np.float32)
     for k, r in enumerate(rows):
         x[k, r["found"]] = 1
     gold = np.array([r["toxic"] for r in rows], float)
+    # A row stands for as many as its class has for each one taken.
     weight = np.where(gold == 1, n[1] / used[1], n[0] / used[0])
     model = LabelModel().fit(x[:, : features.voters].astype(float), gold, weight)
     target = model.posterior(x[:, : features.voters].astype(float), gold)
-    weights, bias = logistic(x.astype(float), target, weight)
+    weights, bias = logistic(x, target, weight)
     return Scorer(features, weights, bias, model)
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """One row per document: doc_id, ``score`` from 0 to 1. Null and empty texts have the bias alone."""
+    """One row per document: doc_id, ``score`` from 0 to 1.
+
+    Null and empty texts have the bias alone; repeated rows give repeated results; whole texts
+    count, however long; an empty table gives no rows; other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,5 +271,6 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per document its score and whether that reaches the threshold; see ``fit`` and ``score`` for awkward rows."""
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -380,6 +380,12 @@ def test_toxic_words_are_learned(spark, rng):
     assert sum(p == y for p, y in held) >= 0.97 * len(held) and sum(y for _, y in held) > 10
 
 
+def test_whole_texts_shout():
+    text = "1" * 1_000_000 + "ÉCRIT EN MAJUSCULES TOUT LE TEMPS"
+    assert toxicity.patterns(text)[2] and not toxicity.patterns(text + "a")[2]
+    assert toxicity.Features([]).of("x " * 500_000 + "idiot", {}) == [0]
+
+
 def test_licenses():
     chosen = tuple(sorted(licenses.TEMPLATES.items()))
     text = "Some text.\nLicensed under the\nApache License, version 2.0\nmore\nALL RIGHTS RESERVED"
