@@ -35,9 +35,9 @@ from .common import Tables, folder_of, map_arrow, release, shared_dir, small
 from .hashing import distinct, mix, text_hashes, unmix
 
 #: Characters of text that make a chunk; a longer text is a chunk of its own.
-CHUNK = 1 << 23
+CHUNK = 1 << 25
 #: Bytes of text for each bucket of the model.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 #: A language's band extends beyond each quartile by so many times that quartile's distance from the median.
 SPREAD = 5.0
 #: Further width in nats, divided by the root of a document's words: means of short texts scatter more.

@@ -330,7 +330,7 @@ def perplexities(texts):
     return out
 
 
-@pytest.mark.parametrize("chunk, bucket", [(1 << 23, 16 << 20), (100, 50)])
+@pytest.mark.parametrize("chunk, bucket", [(1 << 25, 16 << 20), (100, 50)])
 def test_perplexity_by_brute_force(spark, rng, monkeypatch, chunk, bucket):
     monkeypatch.setattr(quality, "CHUNK", chunk)
     monkeypatch.setattr(quality, "BUCKET_BYTES", bucket)
