@@ -174,7 +174,7 @@ def rewrite(
     shard = shard_col or fresh(df, "shard")
     key = fresh(df, "_id")
     ids = placed.where(F.col("shard").isin(numbers)).select(F.col(id_col).alias(key), F.col("shard").alias(shard))
-    rows = df.join(ids, df[id_col].eqNullSafe(ids[key])).drop(key)
+    rows = df.join(ids.hint("merge"), df[id_col].eqNullSafe(ids[key])).drop(key)  # alike at every size
     _write(rows, path, shard)
     # Dynamic overwriting replaces only the folders that get rows.
     filled = {r[0] for r in ids.select(shard).distinct().collect()}
@@ -225,6 +225,6 @@ def op1(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
     rewrite(before, placed, path, row, "old_shard", shard)
     after = figures(shards(spark, path, schema), "shard")
     slots = placed.select(F.col(row).alias("row_number"), "slot", "old_shard")
-    return after.join(slots, "row_number").select(
+    return after.join(slots.hint("merge"), "row_number").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
     )
