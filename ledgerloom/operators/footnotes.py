@@ -29,8 +29,13 @@ def body_sizes(chars: DataFrame) -> DataFrame:
     return mode_first(rows, ["doc"], "body", "at").select("doc", "body")
 
 
-def _with_cutoff(chars: DataFrame) -> DataFrame:
-    return chars.join(body_sizes(chars).withColumn("cutoff", F.col("body") * SUPER).drop("body"), "doc")
+def _with_cutoff(rows: DataFrame, chars: DataFrame) -> DataFrame:
+    """``rows`` with the ``cutoff`` of their documents.
+
+    Joins of characters are merged: those that were exploded from texts are estimated by the size of the texts'
+    table, and so many times too many of them would be broadcast.
+    """
+    return rows.join(body_sizes(chars).select("doc", (F.col("body") * SUPER).alias("cutoff")).hint("merge"), "doc")
 
 
 def _is_digit(c: Column) -> Column:
@@ -39,7 +44,7 @@ def _is_digit(c: Column) -> Column:
 
 def digit_runs(chars: DataFrame) -> DataFrame:
     """Runs of superscript digits on one line: doc, page, ``char_ord`` of the first, ``marker``."""
-    rows = _with_cutoff(chars).where(_is_digit(F.col("text")) & (F.col("size") > 0) & (F.col("size") < F.col("cutoff")))
+    rows = _with_cutoff(chars, chars).where(_is_digit(F.col("text")) & (F.col("size") > 0) & (F.col("size") < F.col("cutoff")))
     item = F.struct(F.col("char_ord").cast("long").alias("char_ord"), "text", F.col("size").cast("double").alias("size"), *[F.col(c).cast("double").alias(c) for c in ("top", "x0", "x1")])
     pages = rows.groupBy("doc", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
     apart = lambda first, last, x: (
@@ -58,10 +63,11 @@ def body_markers(chars: DataFrame) -> DataFrame:
     """
     before = W.partitionBy("doc", "page").orderBy("char_ord").rowsBetween(W.unboundedPreceding, -1)
     full = ~F.col("text").rlike(r"^(?U)\s*$")
-    rows = _with_cutoff(chars)
-    rows = rows.withColumn("prev", F.last(F.when(full, F.struct("text", "size", "top")), ignorenulls=True).over(before))
+    rows = chars.withColumn("prev", F.last(F.when(full, F.struct("text", "size", "top")), ignorenulls=True).over(before))
     rows = rows.withColumn("before_prev", F.last(F.when(full, F.col("prev.text")), ignorenulls=True).over(before))
-    rows = rows.join(digit_runs(chars), ["doc", "page", "char_ord"])
+    # A run begins with a digit, so only digits go on to the joins.
+    rows = _with_cutoff(rows.where(_is_digit(F.col("text"))), chars)
+    rows = rows.join(digit_runs(chars).hint("merge"), ["doc", "page", "char_ord"])
     t = F.col("prev.text")
     exponent = t.isin("e", "E") & (F.col("before_prev").isNull() | F.col("before_prev").isin("(", ",", "×", "*"))
     decimal = (t == ".") & F.coalesce(_is_digit(F.col("before_prev")), F.lit(False))
@@ -112,7 +118,8 @@ def definitions(chars: DataFrame, pages: DataFrame) -> DataFrame:
     The characters at the foot of a page are one piece of work.
     """
     ship(chars.sparkSession)
-    foot = _with_cutoff(chars).join(pages.select("doc", "page", "height"), ["doc", "page"]).where(F.col("top") > FOOT * F.col("height"))
+    limits = _with_cutoff(pages.select("doc", "page", "height"), chars)
+    foot = chars.join(limits.hint("merge"), ["doc", "page"]).where(F.col("top") > FOOT * F.col("height"))
     item = F.struct("text", *[F.col(c).cast("double").alias(c) for c in ("size", "top", "x0", "x1")])
     found = foot.groupBy("doc", "page").agg(F.collect_list(item).alias("chars"), F.first("cutoff").alias("cutoff"))
 
@@ -130,7 +137,7 @@ def definitions(chars: DataFrame, pages: DataFrame) -> DataFrame:
 
 def resolved(markers: DataFrame, defined: DataFrame) -> DataFrame:
     """Markers that have a definition: doc, marker, definition, ``place`` from 1 in the order of the text."""
-    both = markers.join(defined, ["doc", "marker"])
+    both = markers.join(defined.hint("merge"), ["doc", "marker"])
     place = F.row_number().over(W.partitionBy("doc").orderBy("page", "char_ord"))
     return both.select("doc", "marker", "definition", place.alias("place"))
 

@@ -141,6 +141,15 @@ def test_footnotes(spark):
     assert got["e"] == "x12"
 
 
+def test_characters_of_footnotes_are_never_broadcast(spark):
+    rows = spark.range(200).select(F.floor(F.col("id") / 50).cast("string").alias("doc"), F.lit(1).cast("long").alias("page"), F.col("id").alias("k"), F.posexplode(F.split(F.lit("word 12"), "")).alias("j", "text"))
+    size = F.when(F.col("j") > 4, 6.0).otherwise(10.0)
+    chars = rows.select("doc", "page", (F.col("k") * 100 + F.col("j")).alias("char_ord"), "text", size.alias("size"), (F.col("k") * 4.0).alias("top"), (F.col("j") * 5.0).alias("x0"), (F.col("j") * 5.0 + 5).alias("x1"))
+    pages = chars.select("doc", "page").distinct().withColumn("height", F.lit(1000.0))
+    found = footnotes.resolved(footnotes.body_markers(chars), footnotes.definitions(chars, pages))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # The page engine ----------------------------------------------------------------------------------
 
 
