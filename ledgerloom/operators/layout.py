@@ -114,17 +114,23 @@ def nearest_char(words: DataFrame, chars: DataFrame, reach: int = 5) -> DataFram
     to 19 right; the highest counts, then the leftmost, and of characters at one place the last.
     """
     grid = lambda x: F.bround(F.col(x) * 10).cast("long")
-    c = chars.select(F.col("doc").alias("_d"), F.col("page").alias("_p"), grid("top").alias("cy"), grid("x0").alias("cx"), "size", "fontname", "char_ord")
-    # Cells as wide as the reach: a match lies in the word's own row of cells or a neighbouring one.
-    cell = 2 * reach
-    c = c.withColumn("_cell", F.floor(F.col("cy") / cell))
-    w = words.withColumn("wy", grid("top")).withColumn("wx", grid("x0"))
-    w = w.withColumn("_at", F.explode(F.array(*[F.floor(F.col("wy") / cell) + k for k in (-1, 0, 1)])))
-    same_page = (F.col("doc") == F.col("_d")) & (F.col("page") == F.col("_p")) & (F.col("_at") == F.col("_cell"))
-    near = same_page & (F.abs(F.col("cy") - F.col("wy")) <= reach) & (F.col("cx") - F.col("wx")).between(-reach, 19)
-    order = F.struct(F.col("cy") - F.col("wy"), F.col("cx") - F.col("wx"), -F.col("char_ord"))
-    hit = w.join(c, near).groupBy("doc", "page", "word_ord").agg(F.min_by(F.struct("size", "fontname"), order).alias("hit"))
-    return hit.select("doc", "page", "word_ord", "hit.*")
+    # Of the characters at one place the last counts, and what stands near a place holds for all words that begin there.
+    c = chars.select(F.col("doc").alias("_d"), F.col("page").alias("_p"), grid("top").alias("cy"), grid("x0").alias("cx"), F.struct((-F.col("char_ord")).alias("ord"), "size", "fontname").alias("c"))
+    c = c.groupBy("_d", "_p", "cy", "cx").agg(F.min("c").alias("c"))
+    # Cells as large as what a place reaches: it lies in two columns and two rows of cells.
+    high, wide = 2 * reach, reach + 19
+    c = c.withColumns({"_row": F.floor(F.col("cy") / high), "_col": F.floor(F.col("cx") / wide)})
+    w = words.select("doc", "page", "word_ord", grid("top").alias("wy"), grid("x0").alias("wx"))
+    at = ["doc", "page", "wy", "wx"]
+    first = [F.floor((F.col(x) - reach) / n) for x, n in (("wy", high), ("wx", wide))]
+    cells = F.array(*[F.struct((first[0] + j).alias("r"), (first[1] + k).alias("c")) for j in (0, 1) for k in (0, 1)])
+    places = w.select(*at).distinct().withColumn("_at", F.explode(cells))
+    same_cell = (F.col("doc") == F.col("_d")) & (F.col("page") == F.col("_p")) & (F.col("_at.r") == F.col("_row")) & (F.col("_at.c") == F.col("_col"))
+    near = same_cell & (F.abs(F.col("cy") - F.col("wy")) <= reach) & (F.col("cx") - F.col("wx")).between(-reach, 19)
+    order = F.struct((F.col("cy") - F.col("wy")).alias("dy"), (F.col("cx") - F.col("wx")).alias("dx"), "c")
+    best = places.join(c, near).groupBy(*at).agg(F.min(order).alias("best"))
+    hit = w.join(best, at).groupBy("doc", "page", "word_ord").agg(F.min("best").alias("best"))
+    return hit.select("doc", "page", "word_ord", "best.c.size", "best.c.fontname")
 
 
 def shrink(pixels: Column, n: int) -> Column:

@@ -237,6 +237,32 @@ def test_fonts_come_from_the_word_s_own_page(spark):
     assert [(r.size, r.fontname) for r in layout.nearest_char(words, chars).collect()] == [(8.0, "C")]
 
 
+def rows_joined(df):
+    """Rows that the joins of a frame made when it ran."""
+    df.collect()
+    plans, n = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        p = plans.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            plans.append(p.executedPlan())
+        elif name.endswith("QueryStage"):
+            plans.append(p.plan())
+        elif "Join" in name or name == "CartesianProduct":
+            n += p.metrics().apply("numOutputRows").value()
+        plans += [p.children().apply(k) for k in range(p.children().size())]
+    return n
+
+
+def test_places_are_matched_once_however_many_words_begin_there(spark):
+    words = spark.range(400).select(F.lit("d").alias("doc"), F.lit(1).alias("page"), F.col("id").alias("word_ord"), F.lit(10.0).alias("x0"), F.lit(20.0).alias("top"))
+    chars = words.select("doc", "page", F.col("word_ord").alias("char_ord"), "x0", "top", F.col("word_ord").cast("double").alias("size"), F.lit("F").alias("fontname"))
+    twice = words.union(words.where("word_ord = 3").withColumn("top", F.lit(19.6)))
+    found = layout.nearest_char(twice, chars)
+    assert {(r.word_ord, r.size) for r in found.collect()} == {(k, 399.0) for k in range(400)} and found.count() == 400
+    assert rows_joined(found) < 1000
+
+
 def test_repeated_lines_skip_masks(spark):
     pages = spark.createDataFrame([("d", k, f"Head {k}\n{k}\nx\nbody {k} text") for k in range(6)], "doc string, page int, text string")
     assert {r.norm for r in repeated_lines(pages).collect()} == {"head #", "body # text"}
