@@ -12,17 +12,41 @@ from .series import upper_median
 
 
 def words_outside(words: DataFrame, boxes: DataFrame, slack: float = 5.0) -> DataFrame:
-    """Words not fully inside any box of their page; the join is on (doc, page), boxes are the range."""
-    b = boxes.select(F.col("doc").alias("_d"), F.col("page").alias("_p"), "bx0", "by0", "bx1", "by1")
-    inside = (
-        (F.col("doc") == F.col("_d"))
-        & (F.col("page") == F.col("_p"))
-        & (F.col("x0") >= F.col("bx0") - slack)
-        & (F.col("x1") <= F.col("bx1") + slack)
-        & (F.col("top") >= F.col("by0") - slack)
-        & (F.col("bottom") <= F.col("by1") + slack)
-    )
-    return words.join(b, inside, "left_anti")
+    """Words not fully inside any box of their page.
+
+    Words at one place have one answer, so places are looked up, in cells that are at least as large as the box: a
+    page's boxes have cells of a power of two as sides, and a box lies in few of them. What has no such cells (ends
+    before it begins, isn't finite) is compared with all of its page; ``_w`` is 0 for every box, there for such
+    places, and -1 for such boxes. Keys are compared as structs, which are never null: else Spark would filter the
+    words that are looked up, and only those, by them, and make them a second time.
+    """
+    at = ["doc", "page", "x0", "x1", "top", "bottom"]
+    ends = [F.col("bx0") - slack, F.col("bx1") + slack, F.col("by0") - slack, F.col("by1") + slack]
+    b = boxes.where("doc is not null and page is not null").select(F.struct("doc", "page").alias("_own"), *[c.alias(n) for c, n in zip(ends, ("_x0", "_x1", "_y0", "_y1"))])
+    b = b.groupBy("_own", "_x0", "_y0", "_y1").agg(F.max("_x1").alias("_x1")).where("_x0 + _x1 + _y0 + _y1 is not null")
+    inf = F.lit(float("inf"))
+    side = lambda a, b: F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col(b) - F.col(a), F.lit(1.0)))))
+    limited = lambda *names: reduce(lambda a, b: a & b, [(F.col(c) > -inf) & (F.col(c) < inf) for c in names])
+    forward = (F.col("_x0") <= F.col("_x1")) & (F.col("_y0") <= F.col("_y1"))
+    celled = forward & limited("_x0", "_x1", "_y0", "_y1") & (F.col("_x1") - F.col("_x0") < 1e12) & (F.col("_y1") - F.col("_y0") < 1e12)
+    cell = lambda x, n: F.floor(F.col(x) / F.col(n))
+    key = ["_w", "_h", "_c", "_r"]
+    celled_boxes = b.where(celled).withColumns({"_w": side("_x0", "_x1"), "_h": side("_y0", "_y1")})
+    celled_boxes = celled_boxes.withColumn("_c", F.explode(F.sequence(cell("_x0", "_w"), cell("_x1", "_w")))).withColumn("_r", F.explode(F.sequence(cell("_y0", "_h"), cell("_y1", "_h"))))
+    rest = F.when(celled, F.array(F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(-1.0)))
+    whole = b.withColumn("_w", F.explode(rest)).withColumns({"_h": F.lit(0.0), "_c": F.lit(0).cast("long"), "_r": F.lit(0).cast("long")})
+    found = celled_boxes.unionByName(whole)
+    sides = found.groupBy("_own").agg(F.collect_set(F.struct("_w", "_h")).alias("sides"))
+    odd = ~((F.col("x0") <= F.col("x1")) & (F.col("top") <= F.col("bottom")) & limited("x0", "x1", "top", "bottom"))
+    places = words.select(*at).distinct().where(" and ".join(f"{c} is not null" for c in at[2:]))
+    places = places.join(sides, F.struct("doc", "page") == F.col("_own")).select(*at, F.inline("sides")).where(odd == (F.col("_w") == 0))
+    places = places.withColumns({"_c": F.when(F.col("_w") > 0, cell("x0", "_w")).otherwise(0), "_r": F.when(F.col("_w") > 0, cell("top", "_h")).otherwise(0)})
+    p, f = places.alias("p"), found.alias("f")
+    same = reduce(lambda a, b: a & b, [F.col(f"p.{k}") == F.col(f"f.{k}") for k in key], F.struct("doc", "page") == F.col("_own"))
+    inside = (F.col("x0") >= F.col("_x0")) & (F.col("x1") <= F.col("_x1")) & (F.col("top") >= F.col("_y0")) & (F.col("bottom") <= F.col("_y1"))
+    # Merged, as boxes are far more than the estimate for their table once they are in cells.
+    covered = p.join(f.hint("merge"), same & inside, "left_semi").select(F.struct(*at).alias("_place")).distinct()
+    return words.join(covered, F.struct(*at) == F.col("_place"), "left_anti")
 
 
 def bucket_lines(words: DataFrame, height: float = 3.0) -> DataFrame:

@@ -1,6 +1,9 @@
 """Page trees, page engines, jobs and providers on small cases with results worked out by hand."""
 
 import json
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -263,6 +266,27 @@ def test_places_are_matched_once_however_many_words_begin_there(spark):
     assert rows_joined(found) < 1000
 
 
+def test_words_outside_boxes_are_found_by_cells(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [-inf, -40.0, -5.0, 0.0, 3.0, 15.0, 40.0, 600.0, inf, nan, None]
+    r = random.Random(1)
+    spot = lambda: tuple(r.choice(values) if r.random() < 0.15 else r.randint(-60, 60) / 2 for _ in range(4))
+    words = [(d, 1, k, *spot()) for k in range(300) for d in "ab"] * 2
+    rows = [(r.choice("abc"), 1, *spot()) for _ in range(60)] + [("b", 1, -30.0, 0.0, 30.0, 2.0), ("b", 1, -inf, 0.0, inf, 9.0), ("a", 1, 0.0, 0.0, 1e300, 3.0)]
+    w = spark.createDataFrame(words, "doc string, page int, word_ord int, x0 double, top double, x1 double, bottom double")
+    b = spark.createDataFrame(rows, "doc string, page int, bx0 double, by0 double, bx1 double, by1 double")
+    key = lambda x: (x != x, x if x == x else 0.0)  # noqa: E731  NaN is the largest number, as it is for Spark
+    le = lambda a, b: a is not None and b is not None and key(a) <= key(b)
+    move = lambda x, by: None if x is None else x + by
+    inside = lambda t, v: t[0] == v[0] and le(move(v[2], -5), t[3]) and le(t[5], move(v[4], 5)) and le(move(v[3], -5), t[4]) and le(t[6], move(v[5], 5))
+    want = Counter((t[0], t[2]) for t in words if not any(inside(t, v) for v in rows))
+    found = layout.words_outside(w, b)
+    assert found.columns == w.columns and 0 < len(want) < 600
+    assert Counter((x.doc, x.word_ord) for x in found.collect()) == want
+    ranges = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and ">=" in x]
+    assert ranges and all(len(re.search(r"Join \[([^]]*)\]", x)[1].split(",")) > 2 for x in ranges)
+
+
 def test_repeated_lines_skip_masks(spark):
     pages = spark.createDataFrame([("d", k, f"Head {k}\n{k}\nx\nbody {k} text") for k in range(6)], "doc string, page int, text string")
     assert {r.norm for r in repeated_lines(pages).collect()} == {"head #", "body # text"}
